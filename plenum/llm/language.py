@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from .batches import by_batch, narrow
 
 LANGUAGES = ("en", "es", "pl", "pt", "zh", "hi", "ar")
-#: Labelled rows of each language that the model is fitted on at most.
-FIT_ROWS = 3000
+#: Labelled rows of each language that the model is fitted on at most.  Up to 1000 Spark limits the ranks before the shuffle.
+FIT_ROWS = 1000
 #: Hashed character trigrams and bigrams.
 TRIGRAMS, BIGRAMS = 1 << 17, 1 << 14
 #: One word can speak for or against a language by this many nats at most: a name or a slip must not decide.

@@ -168,9 +168,12 @@ def segment_keys(sets: Sets, chosen: np.ndarray, band: int, m: int, deletion: bo
 
 
 def signature(sets: Sets) -> np.ndarray:
-    """55 bits of the words, the set's size up to 255, and a free bit for the kind of an entry, in one number."""
+    """The parity of the words in 55 cells, the set's size up to 255, and a free bit for the kind of an entry, in one number.
+
+    Each word in which two sets differ changes one parity, so the parities never differ in more places than the sets.
+    """
     bit = (_mix(sets.flat + np.uint64(99)) % np.uint64(55)).astype(np.uint64)
-    bits = np.bitwise_or.reduceat(np.uint64(1) << (bit + np.uint64(9)), sets.first) if len(sets.size) else np.zeros(0, np.uint64)
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (bit + np.uint64(9)), sets.first) if len(sets.size) else np.zeros(0, np.uint64)
     return bits | np.minimum(sets.size, 255).astype(np.uint64)
 
 
