@@ -39,7 +39,7 @@ FILTER_BITS = 1 << 25
 _HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _MARKS = "̀-ًͯ-ْٰऀ-ःऺ-ॏ॑-ॗॢॣ"
 _ASCII = re.compile(r"[a-z0-9]+")
-_WORD = re.compile(rf"[{_HAN}]+|(?:[^\W_{_HAN}]|[{_MARKS}])+")
+_WORD = re.compile(rf"[{_HAN}]+|[^\W_{_HAN}]+(?:[{_MARKS}]+[^\W_{_HAN}]*)*|[{_MARKS}]+(?:[^\W_{_HAN}]+[{_MARKS}]*)*")
 _IS_HAN = re.compile(f"[{_HAN}]")
 
 
@@ -167,21 +167,25 @@ def segment_keys(sets: Sets, chosen: np.ndarray, band: int, m: int, deletion: bo
     return full.reshape(-1, m), less, owner
 
 
-def signature(sets: Sets) -> np.ndarray:
-    """The parity of the words in 55 cells, the set's size up to 255, and a free bit for the kind of an entry, in one number.
+def signature(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """The parity of the words in 55 and in 16 further cells; the first number also has the size up to 255 and a free bit for the kind of an entry.
 
     Each word in which two sets differ changes one parity, so the parities never differ in more places than the sets.
     """
-    bit = (_mix(sets.flat + np.uint64(99)) % np.uint64(55)).astype(np.uint64)
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (bit + np.uint64(9)), sets.first) if len(sets.size) else np.zeros(0, np.uint64)
-    return bits | np.minimum(sets.size, 255).astype(np.uint64)
+    cell = _mix(sets.flat + np.uint64(99)) % np.uint64(71)
+    main = np.where(cell < 55, np.uint64(1) << (np.minimum(cell, np.uint64(54)) + np.uint64(9)), np.uint64(0))
+    rest = np.where(cell >= 55, np.uint64(1) << (np.maximum(cell, np.uint64(55)) - np.uint64(55)), np.uint64(0))
+    if not len(sets.size):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+    bits = np.bitwise_xor.reduceat(main, sets.first)
+    return bits | np.minimum(sets.size, 255).astype(np.uint64), np.bitwise_xor.reduceat(rest, sets.first).astype(np.uint16)
 
 
-ENTRY = np.dtype([("key", "<u4"), ("set", "<u8"), ("meta", "<u8")])
+ENTRY = np.dtype([("key", "<u4"), ("set", "<u8"), ("meta", "<u8"), ("more", "<u2")])
 
 
-def index_entries(sets: Sets, plan: Plan, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Full 64-bit keys, identities and metas of all index entries of the sets."""
+def index_entries(sets: Sets, plan: Plan, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Full 64-bit keys and the entries of all index entries of the sets."""
     keys, owners, kinds = [], [], []
     own = plan.band(sets.size)
     for band in np.unique(np.r_[own, own - 1]) if len(own) else ():
@@ -210,9 +214,13 @@ def index_entries(sets: Sets, plan: Plan, frequent: np.ndarray) -> tuple[np.ndar
                 both = _mix(picked[:, a] * np.uint64(3) + picked[:, b])
             keys.append(both.ravel()), owners.append(np.repeat(chosen[some], len(a))), kinds.append(np.zeros(both.size, np.uint64))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    owner = np.concatenate(owners)
-    return np.concatenate(keys), sets.identity[owner], signature(sets)[owner] | (np.concatenate(kinds) << np.uint64(8))
+        return np.zeros(0, np.uint64), np.zeros(0, ENTRY)
+    owner, key = np.concatenate(owners), np.concatenate(keys)
+    main, rest = signature(sets)
+    out = np.empty(len(key), ENTRY)
+    out["key"], out["set"], out["more"] = (key >> np.uint64(32)).astype(np.uint32), sets.identity[owner], rest[owner]
+    out["meta"] = main[owner] | (np.concatenate(kinds) << np.uint64(8))
+    return key, out
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -228,7 +236,12 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 def join_entries(entries: np.ndarray, plan: Plan) -> np.ndarray:
     """Candidate pairs (two columns of identities, the smaller first) among entries of equal key."""
-    entries = np.unique(entries)  # copies of a set are one entry here
+    # Sorted by key and part of the identity in one number; then copies of a set are one entry.
+    order = np.argsort(entries["key"].astype(np.uint64) << np.uint64(32) | (entries["set"] & np.uint64(0xFFFFFFFF)))
+    entries = entries[order]
+    key, own, meta = entries["key"], entries["set"], entries["meta"]
+    new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (meta[1:] != meta[:-1])]
+    entries = entries[new]
     key = entries["key"]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     count = np.diff(np.r_[start, len(key)])
@@ -256,9 +269,14 @@ def _unique_pairs(pairs: np.ndarray) -> np.ndarray:
 
 
 def _prune(entries: np.ndarray, i: np.ndarray, j: np.ndarray, plan: Plan) -> list[np.ndarray]:
-    a, b = entries["meta"][i], entries["meta"][j]
-    na, nb = (a & np.uint64(255)).astype(np.int32), (b & np.uint64(255)).astype(np.int32)
-    differ = _popcount((a ^ b) >> np.uint64(9))
+    # Cheap first: at least as many words differ as parities do.
+    sizes = (entries["meta"] & np.uint64(255)).astype(np.int16)
+    meta, more = entries["meta"], entries["more"]
+    differ = _popcount((meta[i] ^ meta[j]) >> np.uint64(9)) + _popcount(more[i] ^ more[j])
+    near = np.flatnonzero((differ <= (sizes[i] + sizes[j]) * np.float32(plan.rate) + 1e-3) | (sizes[i] == 255) | (sizes[j] == 255))
+    i, j, differ = i[near], j[near], differ[near]
+    a, b = meta[i], meta[j]
+    na, nb = sizes[i].astype(np.int32), sizes[j].astype(np.int32)
     whole = (na == 255) | (nb == 255)  # a size this large isn't known here
     small, large = np.minimum(na, nb), np.maximum(na, nb)
     keep = whole | ((differ <= ((na + nb) * plan.rate + 1e-6)) & (small >= plan.similarity * large - 1e-6))
@@ -321,38 +339,54 @@ def statistics(texts: DataFrame, similarity: float, least: int) -> tuple[Plan, n
     return plan, frequent
 
 
-def candidate_sets(texts: DataFrame, plan: Plan, frequent: np.ndarray, least: int, rows: int) -> DataFrame:
-    """(a, b): identities of word sets that share a key and may be similar; each pair once."""
+def candidates_and_members(texts: DataFrame, plan: Plan, frequent: np.ndarray, least: int, rows: int) -> DataFrame:
+    """(kind, a, b) from one pass over the texts: kind 0 are pairs of identities that share a key and may be similar
+    (a pair can come from several keys), kind 1 are row ids with the identity of their word set.
+
+    Entries travel packed, by bucket of their key; a task joins one bucket at a time.
+    """
     spark = texts.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 40 // BUCKET_ENTRIES + 1)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, rows * 40 // BUCKET_ENTRIES + 1)
     shared = spark.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            sets = Sets(batch.column(0).to_pylist(), hasher, least).distinct()
-            keys, identity, meta = index_entries(sets, plan, shared.value)
-            if not len(keys):
+            sets = Sets(batch.column(1).to_pylist(), hasher, least)
+            if not len(sets.size):
                 continue
+            ids = np.asarray(batch.column(0).take(pa.array(sets.rows, pa.int64())).to_numpy())
+            member = np.stack([ids, sets.identity.view(np.int64)], axis=1)
+            keys, entries = index_entries(sets.distinct(), plan, shared.value)
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            packed = np.empty(len(keys), ENTRY)
-            packed["key"], packed["set"], packed["meta"] = (keys[order] >> np.uint64(32)).astype(np.uint32), identity[order], meta[order]
-            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]], pa.int32()), pa.array([packed[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["bucket", "entries"])
+            bucket, entries = bucket[order], entries[order]
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True])
+            # Members ride along under a negative bucket.
+            numbers = [-1 - int(member[0, 1] % partitions), *bucket[cuts[:-1]].tolist()]
+            packed = [member.tobytes(), *(entries[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False))]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "entries"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         now = None
 
+        def rows_of(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), _signed(np.ascontiguousarray(a)), _signed(np.ascontiguousarray(b))], names=["kind", "a", "b"])
+
         def done() -> Iterator[pa.RecordBatch]:
             if held:
                 pairs = join_entries(np.frombuffer(b"".join(held), ENTRY), plan)
                 if len(pairs):
-                    yield pa.RecordBatch.from_arrays([_signed(np.ascontiguousarray(pairs[:, 0])), _signed(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+                    yield rows_of(0, pairs[:, 0], pairs[:, 1])
 
         for batch in batches:
             for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket < 0:
+                    member = np.frombuffer(entries, np.int64).reshape(-1, 2)
+                    yield rows_of(1, member[:, 0], member[:, 1])
+                    continue
                 if bucket != now:
                     yield from done()
                     held.clear()
@@ -360,56 +394,46 @@ def candidate_sets(texts: DataFrame, plan: Plan, frequent: np.ndarray, least: in
                 held.append(entries)
         yield from done()
 
-    packed = texts.select("text").mapInArrow(emit, "bucket int, entries binary")
-    spread = packed.repartition(min(buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket")
-    return spread.mapInArrow(join, "a long, b long").distinct()
+    packed = texts.mapInArrow(emit, "bucket int, entries binary")
+    spread = packed.repartition(min(buckets, 4 * partitions), "bucket").sortWithinPartitions("bucket")
+    return spread.mapInArrow(join, "kind int, a long, b long")
 
 
 def _own_hash(x: np.ndarray) -> np.ndarray:
     return (_mix(x) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def word_sets(texts: DataFrame, least: int, keep: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(members, sets): (row_id, id) of every row, and (id, words) of the ids in `keep`."""
-    bits = None
-    if keep is not None:
+def word_sets(texts: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
+    """(id, words) of the rows that `wanted` (one column, row ids) names, one row for each id.
 
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = np.unique(_own_hash(np.asarray(batch.column(0).to_numpy()).view(np.uint64)))
-                word, bit = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
-                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int32), pa.int32()), _signed(np.bitwise_or.reduceat(bit, first)) if len(first) else pa.array([], pa.int64())], names=["w", "bit"])
+    A bit table of a fixed size, or-ed in the shuffle, tells the tasks which rows are worth splitting into words.
+    """
 
-        rows = keep.mapInArrow(mark, "w int, bit long").groupBy("w").agg(F.bit_or("bit").alias("bit")).toPandas()
-        bits = np.zeros(FILTER_BITS // 64, np.int64)
-        bits[rows["w"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_own_hash(np.asarray(batch.column(0).to_numpy()).view(np.uint64)))
+            word, bit = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int32), pa.int32()), _signed(np.bitwise_or.reduceat(bit, first)) if len(first) else pa.array([], pa.int64())], names=["w", "bit"])
+
+    rows = wanted.mapInArrow(mark, "w int, bit long").groupBy("w").agg(F.bit_or("bit").alias("bit")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["w"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, table = Hasher(), shared.value.view(np.uint64)
         for batch in batches:
-            sets = Sets(batch.column(1).to_pylist(), hasher, least)
-            if not len(sets.size):
+            at = _own_hash(np.asarray(batch.column(0).to_numpy()).view(np.uint64))
+            marked = np.flatnonzero(table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            if not len(marked):
                 continue
-            ids = batch.column(0).take(pa.array(sets.rows, pa.int64()))
-            wanted = np.ones(len(sets.size), bool)
-            if shared.value is not None:
-                at = _own_hash(sets.identity)
-                wanted = (shared.value.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            # The words of an identity go along once a batch.
-            _, once = np.unique(sets.identity, return_index=True)
-            carries = np.zeros(len(sets.size), bool)
-            carries[once] = True
-            carries &= wanted
-            lengths = np.where(carries, sets.size, 0)
-            at = np.repeat(sets.first[carries] - (np.cumsum(sets.size[carries]) - sets.size[carries]), sets.size[carries]) + np.arange(int(sets.size[carries].sum()))
-            offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(np.ascontiguousarray(sets.flat[at])))
-            yield pa.RecordBatch.from_arrays([ids, _signed(np.ascontiguousarray(sets.identity)), words], names=["row_id", "id", "words"])
-
-    rows = texts.mapInArrow(sets_of, "row_id long, id long, words array<long>")
-    return rows.select("row_id", "id"), rows.where(F.size("words") > 0).select("id", "words")
+            sets = Sets(batch.column(1).take(pa.array(marked)).to_pylist(), hasher, least).distinct()
+            offsets = np.r_[0, np.cumsum(sets.size)].astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(np.ascontiguousarray(sets.flat)))
+            yield pa.RecordBatch.from_arrays([_signed(np.ascontiguousarray(sets.identity)), words], names=["id", "words"])
+
+    return texts.mapInArrow(sets_of, "id long, words array<long>").dropDuplicates(["id"])
 
 
 def similar_sets(texts: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -418,9 +442,13 @@ def similar_sets(texts: DataFrame, similarity: float = SIMILARITY, least: int =
         raise CorpusError("similarity must be at least 0.5 and less than 1")
     rows = texts.count()
     plan, frequent = statistics(texts, similarity, least)
-    candidates = cut(candidate_sets(texts, plan, frequent, least, rows))
-    members, sets = word_sets(texts, least, candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = sets.dropDuplicates(["id"])
+    found_ = cut(candidates_and_members(texts, plan, frequent, least, rows))
+    candidates = found_.where("kind = 0").select("a", "b").distinct()
+    members = found_.where("kind = 1").select(F.col("a").alias("row_id"), F.col("b").alias("id"))
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # One row for each identity that has a candidate brings its words.
+    wanted = members.join(ids, "id", "left_semi").groupBy("id").agg(F.min("row_id").alias("row_id")).select("row_id")
+    sets = word_sets(texts, least, wanted)
     first = candidates.join(sets.withColumnsRenamed({"id": "a", "words": "x"}), "a")
     both = first.join(sets.withColumnsRenamed({"id": "b", "words": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -437,7 +465,6 @@ def near_duplicates(table: DataFrame, *, id_column: str = "row_id", text_column:
     """
     texts = _texts(table, id_column, text_column).where(F.col("row_id").isNotNull())
     pairs, members = similar_sets(texts, similarity, least)
-    members = cut(members)
     other = members.select(F.col("row_id").alias("other"), "id")
     same = members.join(other, "id").where(F.col("row_id") < F.col("other")).select(F.col("row_id").alias("row_id_a"), F.col("other").alias("row_id_b"))
     left = pairs.select("a", "b").join(members.withColumnRenamed("id", "a"), "a")
@@ -454,7 +481,7 @@ def duplicate_groups(table: DataFrame, *, id_column: str = "row_id", text_column
     """
     texts = _texts(table, id_column, text_column).where(F.col("row_id").isNotNull())
     pairs, members = similar_sets(texts, similarity, least)
-    members = cut(members.distinct())
+    members = members.distinct()
     edges = cut(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct())
     labels = members.groupBy("id").agg(F.min("row_id").alias("label"))
     nodes = edges.select(F.col("a").alias("id")).distinct()
