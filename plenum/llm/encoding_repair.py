@@ -166,6 +166,7 @@ class Repairer:
         total = max(1.0, float(counts.sum()))
         self.cost_of = (-np.log((counts + UNSEEN) / (total + 1.0))).astype(np.float32)
         self.layers = layers()
+        self.nested = [layer for layer in self.layers if layer.right == _UTF8 and layer.wrong in ("cp1252", "latin-1")]
         self.known: dict[str, list[tuple[str, float] | None]] = {}
 
     def cost(self, unit: str) -> float:
@@ -183,6 +184,11 @@ class Repairer:
                 if fixed is None:
                     tries.append(None)
                     continue
+                if layer.right == _UTF8:
+                    # What lies between two layers may look worse than either end: look one further.
+                    again = self.nested if layer.wrong in ("cp1252", "latin-1") else [layer]
+                    deeper = [d for d in (inner.utf8(fixed) for inner in again) if d is not None]
+                    fixed = min([fixed, *deeper], key=self.cost)
                 if fixed not in seen:
                     seen[fixed] = before - self.cost(fixed)
                 tries.append((fixed, seen[fixed]))

@@ -395,7 +395,8 @@ def candidates_and_members(texts: DataFrame, plan: Plan, frequent: np.ndarray, l
         yield from done()
 
     packed = texts.mapInArrow(emit, "bucket int, entries binary")
-    spread = packed.repartition(min(buckets, 4 * partitions), "bucket").sortWithinPartitions("bucket")
+    # Bucket b goes to partition b modulo their number, so that no task gets several while another has none.
+    spread = packed.repartitionById(min(buckets, 4 * partitions), F.pmod("bucket", F.lit(min(buckets, 4 * partitions))).cast("int")).sortWithinPartitions("bucket")
     return spread.mapInArrow(join, "kind int, a long, b long")
 
 
