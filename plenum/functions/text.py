@@ -102,9 +102,8 @@ def question_reasons(c: Column) -> Column:
 
 
 def lexicon_hits(tokens: Column, lexicon: Sequence[str]) -> Column:
-    """How many of the tokens are in a word list."""
-    listed = F.array(*[F.lit(w) for w in lexicon])
-    return F.size(F.filter(tokens, lambda t: F.array_contains(listed, t)))
+    """How many different words of a list occur among the tokens."""
+    return F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in lexicon])))
 
 
 def letter_tokens(c: Column) -> Column:

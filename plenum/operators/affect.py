@@ -35,30 +35,35 @@ STOP_WORDS = {
 }
 
 
-def language_gate(c: Column, least_share: float = 0.8) -> Column:
-    """en, es, pt or pl if at least `least_share` of the frequent words found belong to it; else unknown.  Fewer than three letters are unknown."""
-    tokens = text.letter_tokens(c)
-    hits = {code: text.lexicon_hits(tokens, listed) for code, listed in STOP_WORDS.items()}
-    total = reduce(lambda a, b: a + b, hits.values())
+def with_language(df: DataFrame, column: str, output: str = "language", *, least_share: float = 0.8) -> DataFrame:
+    """Adds en, es, pt or pl if at least `least_share` of the frequent words found belong to it, else unknown.
+
+    Texts with fewer than three letters are unknown.  Each count is a column of its own, computed once.
+    """
+    hits = {code: f"__hits_{code}" for code in STOP_WORDS}
+    counted = df.withColumns({"__tokens": text.letter_tokens(F.col(column)), "__letters": text.letter_count(F.col(column))})
+    counted = counted.withColumns({name: text.lexicon_hits(F.col("__tokens"), STOP_WORDS[code]) for code, name in hits.items()})
+    counted = counted.withColumn("__hits", reduce(lambda a, b: a + b, [F.col(n) for n in hits.values()]))
     gate = F.lit("unknown")
     for code in reversed(hits):
-        gate = F.when(hits[code] >= F.lit(least_share) * total, F.lit(code)).otherwise(gate)
-    return F.when((text.letter_count(c) < 3) | (total == 0), F.lit("unknown")).otherwise(gate)
+        gate = F.when(F.col(hits[code]) >= F.lit(least_share) * F.col("__hits"), F.lit(code)).otherwise(gate)
+    gate = F.when((F.col("__letters") < 3) | (F.col("__hits") == 0), F.lit("unknown")).otherwise(gate)
+    return counted.withColumn(output, gate).drop("__tokens", "__letters", "__hits", *hits.values())
 
 
 def lexicon_scorer(df: DataFrame) -> DataFrame:
-    """The default scorer: counts of listed words, smoothed.  It needs no model and runs as column expressions."""
-    tokens = F.col("__tokens")
-    hit = {k: text.lexicon_hits(tokens, v).cast("double") for k, v in LEXICON.items()}
-    sentiment = {"negative": hit["negative"] + 0.25, "neutral": F.lit(1.0), "positive": hit["positive"] + 0.25}
-    emotion = {k: (F.lit(1.0) if k == "neutral" else hit[k] + 0.1) for k in EMOTIONS}
+    """The default scorer: how many listed words occur, smoothed.  It needs no model and runs as column expressions."""
+    counted = df.withColumn("__tokens", text.letter_tokens(F.col("scoring_text")))
+    counted = counted.withColumns({f"__{k}": text.lexicon_hits(F.col("__tokens"), v).cast("double") for k, v in LEXICON.items()})
+    sentiment = {"negative": F.col("__negative") + 0.25, "neutral": F.lit(1.0), "positive": F.col("__positive") + 0.25}
+    emotion = {k: (F.lit(1.0) if k == "neutral" else F.col(f"__{k}") + 0.1) for k in EMOTIONS}
+    totals = counted.withColumns({"__s": reduce(lambda a, b: a + b, sentiment.values()), "__e": reduce(lambda a, b: a + b, emotion.values())})
 
-    def shares(weights: dict[str, Column]) -> Column:
-        total = reduce(lambda a, b: a + b, weights.values())
-        return F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), w / total)])
+    def shares(weights: dict[str, Column], total: str) -> Column:
+        return F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), w / F.col(total))])
 
-    with_tokens = df.withColumn("__tokens", text.letter_tokens(F.col("scoring_text")))
-    return with_tokens.withColumns({"sentiment_probabilities": shares(sentiment), "emotion_probabilities": shares(emotion), "truncated": F.lit(False)}).drop("__tokens")
+    scored = totals.withColumns({"sentiment_probabilities": shares(sentiment, "__s"), "emotion_probabilities": shares(emotion, "__e"), "truncated": F.lit(False)})
+    return scored.drop("__tokens", "__s", "__e", *[f"__{k}" for k in LEXICON])
 
 
 def _argmax(probabilities: Column, labels: Sequence[str]) -> Column:
@@ -87,7 +92,8 @@ def analyse_affect(df: DataFrame, *, scorer: Scorer = lexicon_scorer, language:
     distinct normalised text is scored once and joined back, so a scorer that runs a model sees no repeats.
     """
     base = df.select(F.col(position).alias(POSITION), text.strip(F.col(COMMENT)).alias("t"), (language if language is not None else F.lit(None).cast("string")).alias("given"))
-    base = base.withColumn("language", F.when(F.col("t") == "", "unknown").otherwise(F.coalesce("given", language_gate(F.col("t")))))
+    base = with_language(base, "t", "gate")
+    base = base.withColumn("language", F.when(F.col("t") == "", "unknown").otherwise(F.coalesce("given", "gate"))).drop("gate")
     base = base.withColumn("status", F.when(F.col("t") == "", "empty").when(F.col("language") == "en", "scored").otherwise("excluded_language"))
     base = base.withColumn("scoring_text", F.when(F.col("status") == "scored", text.for_scoring(F.col("t")))).drop("t", "given")
     if scorer is lexicon_scorer:

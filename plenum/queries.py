@@ -58,7 +58,7 @@ def _list(words) -> str:  # noqa: ANN001
 
 
 def _hits(words) -> str:  # noqa: ANN001
-    return f"len(list_filter(tok, lambda x: list_contains({_list(words)}, x)))"
+    return f"len(list_intersect(tok, {_list(words)}))"
 
 
 _CLEANED = f"""
@@ -362,7 +362,7 @@ def theme_quotes(spark, folder):  # noqa: ANN001, ANN201
     return themes.select_quotes(themes.hashed_embedding(rows, "redacted_text"), rows.select(POSITION, "theme_id"))
 
 
-_TOKENS = f"tk AS (SELECT row_id, ward, role, received_at, {_strip('comment_text')} AS t, regexp_extract_all(lower({_strip('comment_text')}), '\\p{{L}}+') AS tok FROM synthetic_theme_benchmark)"
+_TOKENS = f"tk AS (SELECT row_id, ward, role, received_at, {_strip('comment_text')} AS t, list_distinct(regexp_extract_all(lower({_strip('comment_text')}), '\\p{{L}}+')) AS tok FROM synthetic_theme_benchmark)"
 _GATE = ", ".join(f"{_hits(w)} AS h_{c}" for c, w in affect.STOP_WORDS.items())
 _EMO = ", ".join(f"{_hits(affect.LEXICON[e])} + 0.1 AS e_{e}" if e != "neutral" else "1.0 AS e_neutral" for e in EMOTIONS)
 _TOP = "greatest(" + ", ".join(f"e_{e}" for e in EMOTIONS) + ")"
