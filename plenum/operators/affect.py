@@ -126,9 +126,9 @@ def check_scores(rows: DataFrame) -> None:
         raise AffectError("Affect inference returned invalid scores.")
 
 
-def _aggregates() -> list[Column]:
+def _aggregates(total: Column | None = None) -> list[Column]:
     scored = F.col("status") == "scored"
-    out = [F.count(F.lit(1)).alias("total_comments"), F.count_if(scored).alias("scored_comments"), F.avg(F.when(scored, F.col("sentiment_score"))).alias("mean_sentiment")]
+    out = [(F.count(F.lit(1)) if total is None else total).alias("total_comments"), F.count_if(scored).alias("scored_comments"), F.avg(F.when(scored, F.col("sentiment_score"))).alias("mean_sentiment")]
     out += [F.count_if(scored & (F.col("sentiment") == k)).alias(f"sentiment_{k}") for k in SENTIMENTS]
     return out + [F.count_if(scored & (F.col("emotion") == k)).alias(f"emotion_{k}") for k in EMOTIONS]
 
@@ -142,10 +142,13 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.withColumns({"excluded_comments": F.col("total_comments") - n} | shares | {"dominant_emotion": F.when(F.size(tied) == 1, tied[0]), "dominant_emotion_ties": F.when(F.size(tied) > 1, tied).otherwise(F.array().cast("array<string>"))})
 
 
-def aggregate_affect(rows: DataFrame, group: str | Column) -> DataFrame:
-    """Counts, shares among scored rows, mean score and the most frequent emotion of each group; groups without a scored row keep nulls."""
+def aggregate_affect(rows: DataFrame, group: str | Column, *more: Column, total: Column | None = None) -> DataFrame:
+    """Counts, shares among scored rows, mean score and the most frequent emotion of each group; groups without a scored row keep nulls.
+
+    Further aggregates can be asked for, and another count of the comments of a group.
+    """
     key = F.col(group) if isinstance(group, str) else group
-    return _finish(rows.groupBy(key.alias("group")).agg(*_aggregates()))
+    return _finish(rows.groupBy(key.alias("group")).agg(*_aggregates(total), *more))
 
 
 def aggregate_affect_sets(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
