@@ -22,6 +22,9 @@ from ..errors import IngestError, ReferenceError
 #: Row cap of a plain load; None reads everything.
 ROW_CAP = 5000
 _ENCODINGS = ("utf-8", "windows-1252")
+# Spark reads Latin-1 but not Windows-1252: the characters in which they differ are exchanged after reading.
+_C1 = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_WINDOWS = "".join(bytes([ord(c)]).decode("cp1252") for c in _C1)
 #: A value that no cell has, so that NA and blanks stay text.
 _NEVER_NULL = "\x01\x02never\x02\x01"
 
@@ -58,11 +61,14 @@ def encoding_of(path: str | Path, sample: int = 1 << 20) -> tuple[str, bool]:
 def read_csv(spark: SparkSession, path: str | Path, *, preserve_text: bool = False) -> tuple[DataFrame, str]:
     """All rows of a CSV file with quoted line breaks, and its encoding; preserve_text keeps 001 and NA as they are."""
     encoding, marked = encoding_of(path)
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding)
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8" if encoding == _ENCODINGS[0] else "ISO-8859-1")
     reader = reader.option("nullValue", _NEVER_NULL).option("emptyValue", "") if preserve_text else reader.option("inferSchema", True)
     df = reader.csv(str(path))
     if marked and df.columns and df.columns[0].startswith("﻿"):
         df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("﻿"))
+    if encoding != _ENCODINGS[0]:
+        swap = str.maketrans(_C1, _WINDOWS)
+        df = df.select(*[(F.translate(F.col(f"`{f.name}`"), _C1, _WINDOWS) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(f.name.translate(swap)) for f in df.schema.fields])
     if preserve_text:
         df = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
     return df, encoding
