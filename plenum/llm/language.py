@@ -10,6 +10,7 @@ All steps work on the code points of a whole Arrow batch at once.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 from itertools import combinations
@@ -276,9 +277,19 @@ def choose(scores: np.ndarray, share: np.ndarray, single: np.ndarray) -> list[in
     return path
 
 
+_ADDRESS = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?(?:@|[\[(]\s?at\s?[\])])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]+)+|(?:https?://|www\.)\S+", re.I)
+
+
+def without_addresses(text: str) -> str:
+    """E-mail addresses, also written out, and links become digits of the same length: they are in no language."""
+    if "@" in text or "(" in text or "[" in text or "://" in text or "www." in text:
+        return _ADDRESS.sub(lambda m: "0" * len(m[0]), text)
+    return text
+
+
 def analyse(texts: list[str], model: Model) -> list[tuple[int, list[tuple[int, int, int, float]]]]:
     """For each text the number of words and its stretches (start, end, language index, confidence)."""
-    words = Words.of(texts)
+    words = Words.of([without_addresses(t) for t in texts])
     out: list[tuple[int, list[tuple[int, int, int, float]]]] = [(0, [])] * len(texts)
     if not len(words.start):
         return out
