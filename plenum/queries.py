@@ -11,7 +11,7 @@ from .functions import dates, redaction, text, vectors
 from .operators import affect, clean, evaluate, gaps, questions, themes, timeline
 from .plans import brief, export
 from .schema import EMOTIONS, POSITION, SENTIMENTS
-from .sources import tables
+from .sources import synthetic, tables
 from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,7 +257,7 @@ _C = _V + """, d AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(ran
 c0 AS (SELECT label, list(m ORDER BY i) AS m FROM d GROUP BY 1), c AS (SELECT label, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS c FROM c0)"""
 
 
-@_query(f"WITH {_C}, r AS (SELECT u.vec_id, k.vec_id AS response_key, round(list_dot_product(u.ue, k.ue), 9) AS s FROM u, u k WHERE k.vec_id % 50 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, response_key) AS rn FROM r) SELECT vec_id AS key, response_key, round(s, 6) AS similarity FROM o WHERE rn = 1")
+@_query(f"WITH {_C}, r AS (SELECT u.vec_id, k.vec_id AS response_key, list_dot_product(u.ue, k.ue) AS s FROM u, u k WHERE k.vec_id % 50 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, response_key) AS rn FROM r) SELECT vec_id AS key, response_key, round(s, 6) AS similarity FROM o WHERE rn = 1")
 def response_match(spark, folder):  # noqa: ANN001, ANN201
     """Best response of each question; every fiftieth row is the set of responses, all rows are questions."""
     points = _vectors(spark, folder).withColumnRenamed(POSITION, "key")
@@ -589,6 +589,18 @@ def vector_norms(spark, folder):  # noqa: ANN001, ANN201
     return _table(spark, folder, "embeddings").select("vec_id", _r(vectors.norm(vectors.as_double(F.col("embedding")))).alias("norm"))
 
 
+@_query()
+def synthetic_hearing(spark, folder):  # noqa: ANN001, ANN201
+    """Invented comments of the hearing schema, from rules and a seed."""
+    return synthetic.hearing_comments(spark, 1000)
+
+
+@_query("SELECT count(*) AS n_rows, count(DISTINCT row_id) AS n_ids, count(*) FILTER (WHERE trim(coalesce(comment_text, '')) = '') > 0 AS has_blanks, count(*) = count(DISTINCT row_id) AS ids_unique FROM synthetic_theme_benchmark")
+def fixture_facts(spark, folder):  # noqa: ANN001, ANN201
+    """What a fixture's manifest is held against."""
+    return synthetic.fixture_facts(_benchmark(spark, folder), key="row_id", column="comment_text")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
