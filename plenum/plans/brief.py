@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import unicodedata
+import zipfile
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,3 +79,25 @@ def paragraphs(brief: dict[str, object]) -> list[tuple[str, str]]:
 def to_markdown(brief: dict[str, object]) -> str:
     marks = {"title": "# ", "heading": "## ", "text": ""}
     return "\n\n".join(marks[style] + text for style, text in paragraphs(brief)) + "\n"
+
+
+_WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_DOCUMENT = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"
+_MAIN = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+
+
+def docx_bytes(brief: dict[str, object]) -> bytes:
+    """The brief as an editable document, built with the standard library alone."""
+    size = {"title": 32, "heading": 26, "text": 22}
+    body = "".join(f'<w:p><w:r><w:rPr>{"" if style == "text" else "<w:b/>"}<w:sz w:val="{size[style]}"/></w:rPr><w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>' for style, text in paragraphs(brief))
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{_MAIN}"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_DOCUMENT}" Target="word/document.xml"/></Relationships>',
+        "word/document.xml": f'<w:document xmlns:w="{_WORD}"><w:body>{body}</w:body></w:document>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, content in parts.items():
+            book.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + content)
+    return out.getvalue()

@@ -1,3 +1,4 @@
+import io
 import json
 import zipfile
 
@@ -117,6 +118,8 @@ def test_whole_analysis(spark, folder):
     assert all(sources[q["row_position"]][q["source_start"] : q["source_end"]] == q["quote"] for q in r.quotes.collect())
     page = brief.build(themes=r.themes, quotes=r.quotes, affect=r.affect, periods=r.periods, mode=r.period_mode, gap_rows=r.gap_rows, top_questions=r.questions["top"])
     assert brief.to_markdown(page).startswith("# Community feedback brief")
+    with zipfile.ZipFile(io.BytesIO(brief.docx_bytes(page))) as book:
+        assert b"Community feedback brief" in book.read("word/document.xml")
     with pytest.raises(PlenumError):
         analysis.analyse(mapped, analysis.Options(grouping_distance=0))
 
