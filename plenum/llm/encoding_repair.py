@@ -127,6 +127,9 @@ def _pairs(text: str) -> np.ndarray:
     """Buckets of the neighbouring characters of which one at least is beyond ASCII."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     x = np.where((x >= 9) & (x <= 13), np.uint64(32), x)
+    # White space behind a digit is a character of its own: a degree sign follows it, an opening mark does not.
+    behind = np.r_[False, (x[:-1] >= 48) & (x[:-1] <= 57)] if len(x) else np.zeros(0, bool)
+    x = np.where((x == 32) & behind, np.uint64(1), x)
     a, b = x[:-1], x[1:]
     a, b = a[k := (a > 127) | (b > 127)], b[k]
     mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
@@ -167,17 +170,17 @@ class Repairer:
         self.cost_of = (-np.log((counts + UNSEEN) / (total + 1.0))).astype(np.float32)
         self.layers = layers()
         self.nested = [layer for layer in self.layers if layer.right == _UTF8 and layer.wrong in ("cp1252", "latin-1")]
-        self.known: dict[str, list[tuple[str, float] | None]] = {}
+        self.known: dict[tuple[str, bool], list[tuple[str, float] | None]] = {}
 
-    def cost(self, unit: str) -> float:
-        return float(self.cost_of[_pairs(f" {unit} ")].sum())
+    def cost(self, unit: str, numbered: bool = False) -> float:
+        return float(self.cost_of[_pairs(f"0 {unit} " if numbered else f" {unit} ")].sum())
 
-    def tries(self, unit: str) -> list[tuple[str, float] | None]:
-        """For each layer what it makes of the unit and by how much the cost drops."""
-        if unit not in self.known:
+    def tries(self, unit: str, numbered: bool = False) -> list[tuple[str, float] | None]:
+        """For each layer what it makes of the unit and by how much the cost drops; numbered: the unit stands behind a number."""
+        if (unit, numbered) not in self.known:
             if len(self.known) >= self.MEMORY:
                 self.known.clear()
-            before, tries = self.cost(unit), []
+            before, tries = self.cost(unit, numbered), []
             seen: dict[str, float] = {}
             for layer in self.layers:
                 fixed = layer.repair(unit)
@@ -188,19 +191,19 @@ class Repairer:
                     # What lies between two layers may look worse than either end: look one further.
                     again = self.nested if layer.wrong in ("cp1252", "latin-1") else [layer]
                     deeper = [d for d in (inner.utf8(fixed) for inner in again) if d is not None]
-                    fixed = min([fixed, *deeper], key=self.cost)
+                    fixed = min([fixed, *deeper], key=lambda f: self.cost(f, numbered))
                 if fixed not in seen:
-                    seen[fixed] = before - self.cost(fixed)
+                    seen[fixed] = before - self.cost(fixed, numbered)
                 tries.append((fixed, seen[fixed]))
-            self.known[unit] = tries
-        return self.known[unit]
+            self.known[unit, numbered] = tries
+        return self.known[unit, numbered]
 
     def once(self, text: str) -> str | None:
         """The text with the best layer undone where it helps; None if no layer lowers the cost enough."""
         found = list(_UNIT.finditer(text))
         if not found:
             return None
-        tried = [self.tries(m[0]) for m in found]
+        tried = [self.tries(m[0], m.start() > 1 and "0" <= text[m.start() - 2] <= "9") for m in found]
         best, at = 0.0, None
         for k, layer in enumerate(self.layers):
             if layer.right == _UTF8:
