@@ -45,7 +45,7 @@ def variants(text: str) -> list[str]:
 
 def threshold(length: int) -> int:
     """Edits allowed for a key of this length: short words must be exact, as another word is always near."""
-    return 0 if length <= 3 else 1 if length == 4 else 2
+    return 0 if length <= 3 else 1 if length == 4 else 2 if length < 16 else 3
 
 
 def edit_distances(entry: str, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
