@@ -630,7 +630,8 @@ def redact(table: DataFrame, field: Field, *, text_column: str, output_column: s
 
         decoder = Decoder(shared.value)
         known = [t for t in texts if t is not None]
-        done = iter([_replace(t, i) for t, i in zip(known, find_items(known, decoder), strict=True)])
+        parts = (known[begin : begin + 1024] for begin in range(0, len(known), 1024))
+        done = iter([_replace(t, i) for part in parts for t, i in zip(part, find_items(part, decoder), strict=True)])
         return pd.Series([None if t is None else next(done) for t in texts], dtype=object)
 
     return table.withColumn(output_column, run(F.col(f"`{text_column}`").cast("string")))
@@ -663,3 +664,14 @@ def found(benchmark: DataFrame, cases: DataFrame) -> DataFrame:
     comments = tag(benchmark, field, id_column="row_id", text_column="comment_text").select(F.lit("comment").alias("src_name"), "row_key", "start_pos", "end_pos", "pii_type")
     texts = tag(cases.where(F.col("names").isNull()), field, id_column="case_id", text_column="text").select(F.lit("case").alias("src_name"), "row_key", "start_pos", "end_pos", "pii_type")
     return comments.unionByName(texts)
+
+
+def redacted(benchmark: DataFrame, cases: DataFrame) -> DataFrame:
+    """(src_name, row_key, redacted_text) of every row of both tables, labelled cases included; null texts stay null."""
+    field = fitted(cases)
+
+    def of(table: DataFrame, name: str, id_column: str, text_column: str) -> DataFrame:
+        source = narrow(table, row_key=id_column, text=text_column).select(F.lit(name).alias("src_name"), F.col("row_key").cast("long").alias("row_key"), "text")
+        return redact(source, field, text_column="text").select("src_name", "row_key", "redacted_text")
+
+    return of(benchmark, "comment", "row_id", "comment_text").unionByName(of(cases, "case", "case_id", "text"))

@@ -38,8 +38,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    cases = _read(spark, folder, "person_redaction_cases")
-    return pii.redact(cases, pii.fitted(cases), text_column="text").select("case_id", "redacted_text")
+    return pii.redacted(_read(spark, folder, "synthetic_theme_benchmark"), _read(spark, folder, "person_redaction_cases"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

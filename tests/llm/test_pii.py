@@ -67,3 +67,15 @@ def test_decoding_is_the_best_path(decoder):
 def test_fit_reads_labelled_rows(spark):
     cases = spark.createDataFrame([(1, "Contact Omar Velwright about it.", ["Omar Velwright"]), (2, "Keep the annex open.", []), (3, "x", None), (4, None, ["a"])], "case_id long, text string, names array<string>")
     assert sorted(pii.labelled_rows(cases)) == [("Contact Omar Velwright about it.", ["Omar Velwright"]), ("Keep the annex open.", [])]
+
+
+def test_redacted_query_covers_both_tables(spark, folder):
+    from plenum.llm import queries
+
+    got = queries.queries()["p4_redacted"](spark, folder)
+    assert got.columns == ["src_name", "row_key", "redacted_text"]
+    sizes = {r["src_name"]: r["count"] for r in got.groupBy("src_name").count().collect()}
+    tables = {"comment": "synthetic_theme_benchmark", "case": "person_redaction_cases"}
+    assert sizes == {name: spark.read.parquet(f"{folder}/{table}.parquet").count() for name, table in tables.items()}
+    marked = got.where("redacted_text rlike '\\\\[(PERSON|EMAIL_ADDRESS|PHONE_NUMBER|ID_NUMBER|STREET_ADDRESS)\\\\]'")
+    assert {r["src_name"] for r in marked.select("src_name").distinct().collect()} == {"comment", "case"}
