@@ -312,7 +312,7 @@ def silhouette_euclidean(spark, folder):  # noqa: ANN001, ANN201
 @_query()
 def kmeans_auto(spark, folder):  # noqa: ANN001, ANN201
     points = _vectors(spark, folder)
-    labels, _ = themes.choose_kmeans(points, 8)
+    labels, _ = themes.choose_kmeans(points, "auto")
     return themes.display_ids(labels)
 
 
