@@ -13,6 +13,7 @@ import re
 import unicodedata
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ N = len(LABELS)
 SEED_ROWS, FIT_ROWS = 3600, 1500
 #: Hashed features; training rounds; step.
 BUCKETS, EPOCHS, RATE, DECAY = 1 << 16, 7, 0.25, 1e-6
-#: Longest text that is decoded at once, in tokens; longer ones are cut at line and sentence ends.
+#: Longest text that training takes, in tokens; decoding takes whole texts of any length, this many tokens of 1,024 texts at once.
 LONGEST = 400
 
 SPANS = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType()), T.StructField("pii_type", T.StringType())])
@@ -171,7 +172,7 @@ def form_codes(spans: list[tuple[int, int]], found: list[list[tuple[int, int]]])
     codes = np.zeros(len(spans), np.int64)
     if not any(found):
         return codes
-    starts = [a for a, _ in spans]
+    starts = np.array([a for a, _ in spans])
     for k, stretches in enumerate(found):
         place = 3**k
         for a, b in stretches:
@@ -312,8 +313,12 @@ class Decoder:
         begins, insides = np.arange(1, N, 2), np.arange(2, N, 2)  # an inside label follows the two of its kind
         to_open = np.ascontiguousarray(self.step[:, opens])[:, :, None]
         from_begin, from_inside = self.step[begins, insides][:, None], self.step[insides, insides][:, None]
-        for at in range(0, len(order), 1024):
-            group = order[at : at + 1024]
+        groups: list[list[int]] = []
+        for i in order:
+            if not groups or len(groups[-1]) == 1024 or (len(groups[-1]) + 1) * len(emissions[i]) > 1024 * LONGEST:
+                groups.append([])
+            groups[-1].append(i)
+        for group in groups:
             width, n = len(emissions[group[-1]]), len(group)
             lengths = np.array([len(emissions[i]) for i in group])
             rows = np.zeros((n, width, N), np.float32)
@@ -450,22 +455,6 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
-def _pieces(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Tokens in pieces of at most about LONGEST, cut after a line break or a full stop."""
-    if len(spans) <= LONGEST:
-        return [spans]
-    out, begin, cut = [], 0, 0
-    for i, (a, b) in enumerate(spans):
-        if text[a] in "\n.!?。！？।؟":
-            cut = i + 1
-        if i - begin >= LONGEST:
-            stop = cut if cut > begin else i + 1
-            out.append(spans[begin:stop])
-            begin = stop
-    out.append(spans[begin:])
-    return [p for p in out if p]
-
-
 _TITLE = re.compile(r"^(?:mrs?|ms|miss|dr|rev|prof|sra?|srta|dra|dona|doña|don|pani|pan|hon)\b\.?\s+", re.I)
 
 
@@ -518,34 +507,34 @@ def _ends_sentence(text: str, end: int) -> bool:
     line = rest.partition("\n")[0].strip()
     if not line:
         return True
-    from .sentences import sentences
-
     begin = text.rfind("\n", 0, end) + 1
     stop = text.find("\n", end)
-    return any(begin + e == end for _, e in sentences(text[begin : stop if stop >= 0 else len(text)]))
+    return end - begin in _ends(text[begin : stop if stop >= 0 else len(text)])
+
+
+@lru_cache(maxsize=8)
+def _ends(line: str) -> frozenset[int]:
+    """Where the sentences of a line end; a long line with many addresses asks again and again."""
+    from .sentences import sentences
+
+    return frozenset(e for _, e in sentences(line))
 
 
 def find_items(texts: list[str], decoder: Decoder) -> list[list[tuple[int, int, str]]]:
     """Items (start, end, type) of each text, in order and without overlaps."""
-    pieces, owner, bases = [], [], []
+    whole, owner = [], []
     for k, text in enumerate(texts):
         strings = _tokens_of(text).findall(text)
-        if len(strings) <= LONGEST:
-            if strings:
-                pieces.append((text, strings, forms(text))), owner.append(k), bases.append(0)
-            continue
-        for part in _pieces(text, tokens(text)):
-            base = part[0][0]
-            piece = text[base : part[-1][1]]
-            pieces.append((piece, [text[a:b] for a, b in part], forms(piece))), owner.append(k), bases.append(base)
+        if strings:
+            whole.append((text, strings, forms(text))), owner.append(k)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     offsets: dict[int, list[tuple[int, int]]] = {}
-    paths = decoder.decode(decoder.scores(pieces, offsets))
-    for n_piece, (k, base, (piece, _, found), path) in enumerate(zip(owner, bases, pieces, paths, strict=True)):
+    paths = decoder.decode(decoder.scores(whole, offsets))
+    for number, (k, (text, _, found), path) in enumerate(zip(owner, whole, paths, strict=True)):
         hit = np.flatnonzero(path)
         if not len(hit):
             continue
-        spans = offsets.get(n_piece) or tokens(piece)
+        spans = offsets.get(number) or tokens(text)
         i, n = int(hit[0]), len(path)
         while i < n:
             label = int(path[i])
@@ -556,10 +545,10 @@ def find_items(texts: list[str], decoder: Decoder) -> list[list[tuple[int, int,
             j = i + 1
             while j < n and LABELS[path[j]] == "I-" + kind:
                 j += 1
-            for a, b in _split(piece, spans[i][0], spans[j - 1][1]) if kind == "PERSON" else ((spans[i][0], spans[j - 1][1]),):
-                span = _trim(piece, a, b, kind, found)
-                if span and not (out[k] and out[k][-1][1] > base + span[0]):
-                    out[k].append((base + span[0], base + span[1], kind))
+            for a, b in _split(text, spans[i][0], spans[j - 1][1]) if kind == "PERSON" else ((spans[i][0], spans[j - 1][1]),):
+                span = _trim(text, a, b, kind, found)
+                if span and not (out[k] and out[k][-1][1] > span[0]):
+                    out[k].append((*span, kind))
             i = j
     return out
 

@@ -79,3 +79,13 @@ def test_redacted_query_covers_both_tables(spark, folder):
     assert sizes == {name: spark.read.parquet(f"{folder}/{table}.parquet").count() for name, table in tables.items()}
     marked = got.where("redacted_text rlike '\\\\[(PERSON|EMAIL_ADDRESS|PHONE_NUMBER|ID_NUMBER|STREET_ADDRESS)\\\\]'")
     assert {r["src_name"] for r in marked.select("src_name").distinct().collect()} == {"comment", "case"}
+
+
+@pytest.mark.parametrize("text,wanted", [c for c in CASES[:5] if c[1]])
+def test_items_of_long_texts_at_any_place(decoder, text, wanted):
+    """Every token of each kind of item once stands where pieces of 400 tokens would be cut."""
+    length = len(pii.tokens(text))
+    texts = ["the bus is late " * 94 + "so " * k + "today; " + text for k in range(max(0, 24 - length), 24)]
+    for long, found in zip(texts, pii.find_items(texts, decoder), strict=True):
+        assert len(pii.tokens(long)) > pii.LONGEST
+        assert [(long[a:b], k) for a, b, k in found] == wanted
