@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -260,20 +259,73 @@ def _stretches(scores: np.ndarray, languages: tuple[int, ...]) -> tuple[float, l
     return total, path
 
 
+#: Of every set of languages, as bits: its members and their number.
+_HAS = (np.arange(1 << len(LANGUAGES))[:, None] >> np.arange(len(LANGUAGES)) & 1).astype(bool)
+_SIZE = _HAS.sum(axis=1)
+
+
+def _bounds(scores: np.ndarray) -> np.ndarray:
+    """What each set of languages can reach at most: every word in its best language of the set, each further language entered once."""
+    k = scores.shape[1]
+    total = np.zeros(1 << k)
+    for begin in range(0, len(scores), 4096):
+        part = scores[begin : begin + 4096].T.astype(np.float64)
+        best = np.full((1 << k, part.shape[1]), -np.inf)
+        for i in range(k):
+            best[1 << i : 2 << i] = np.maximum(best[: 1 << i], part[i])
+        total += best.sum(axis=1)
+    return total - (LANGUAGE_COST + SWITCH_COST) * np.maximum(_SIZE - 1, 0)
+
+
+def _best_set(scores: np.ndarray, languages: list[int]) -> tuple[int, ...]:
+    """The set of all sets of these languages whose best sequence has the highest penalised likelihood: one pass over (set, language) states."""
+    k = len(languages)
+    has = _HAS[: 1 << k, :k]
+    without = np.arange(1 << k)[:, None] & ~(1 << np.arange(k))
+    closed = np.where(has, 0.0, -np.inf)
+    s = scores[:, languages].astype(np.float64)
+    value = np.full((1 << k, k), -np.inf)
+    value[1 << np.arange(k), np.arange(k)] = s[0]
+    for row in s[1:]:
+        top = value.max(axis=1)
+        value = np.maximum(np.maximum(value, top[:, None] - SWITCH_COST), top[without] - (SWITCH_COST + LANGUAGE_COST))
+        value += closed
+        value += row
+    final = value.max(axis=1)
+    # Of equal sets the smallest wins.
+    chosen = min(np.flatnonzero(final >= final.max() - 1e-6), key=lambda m: (_SIZE[m], -final[m]))
+    return tuple(languages[i] for i in range(k) if chosen >> i & 1)
+
+
 def choose(scores: np.ndarray, share: np.ndarray, single: np.ndarray) -> list[int]:
-    """Language of each word of one document: the penalised likelihood picks one language or a set of two or three."""
+    """Language of each word of one document: the penalised likelihood picks one language or any set of them.
+
+    Sets are tried from the highest bound on; if the bounds leave more than a few, one pass over all that are left decides.
+    """
     first = int(single.argmax())
     best, path = float(single[first]), [first] * len(scores)
-    likely = [int(i) for i in np.argsort(-share) if share[i] > 0.04][:4]
-    if first not in likely:
-        likely = [first, *likely[:3]]
-    for size in (2, 3):
-        for languages in combinations(likely, size):
-            total, found = _stretches(scores, languages)
-            used = len(set(found))
-            value = total - LANGUAGE_COST * (used - 1)
-            if used == size and value > best + 1e-6:
-                best, path = value, found
+    bound = _bounds(scores)
+    bound[_SIZE < 2] = -np.inf
+    rank = np.argsort(-share)
+
+    def attempt(languages: tuple[int, ...]) -> None:
+        nonlocal best, path
+        total, found = _stretches(scores, tuple(int(i) for i in rank if i in languages))
+        value = total - LANGUAGE_COST * (len(set(found)) - 1)
+        if value > best + 1e-6:
+            best, path = value, found
+
+    order = np.argsort(-bound, kind="stable")
+    for mask in order[:3]:
+        if bound[mask] <= best + 1e-6:
+            return path
+        attempt(tuple(np.flatnonzero(_HAS[mask])))
+    left = order[3:][bound[order[3:]] > best + 1e-6]
+    if len(left) > 3:
+        attempt(_best_set(scores, [int(i) for i in np.flatnonzero(_HAS[left].any(axis=0))]))
+    else:
+        for mask in left:
+            attempt(tuple(np.flatnonzero(_HAS[mask])))
     return path
 
 

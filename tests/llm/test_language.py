@@ -57,3 +57,25 @@ def test_held_out_accuracy(spark, folder):
 def test_labels(spark, label, code):
     df = spark.createDataFrame([(label,)], "c string")
     assert df.select(la.code_of(df["c"]).alias("o")).first()["o"] == code
+
+
+def test_stretches_of_small_share_and_of_many_languages(spark):
+    rows = [(1, f"{EN} " * 40 + f"{ES} " + f"{EN} " * 40, None), (2, f"{EN} {ES} {PL} {ZH} {AR}", None)]
+    assert found(spark, rows) == [(1, 1, "en"), (1, 2, "es"), (1, 3, "en"), *((2, k, c) for k, c in enumerate(("en", "es", "pl", "zh", "ar"), 1))]
+
+
+def test_choose_is_the_best_of_all_sets():
+    from itertools import combinations
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for k in range(40):
+        own = np.repeat(rng.integers(0, 7, 5), rng.integers(3, 12))[:40]
+        scores = -rng.random((len(own), 7)).astype(np.float32) * (2, 5)[k % 2]
+        scores[np.arange(len(own)), own] *= 0.2
+        scores -= scores.max(axis=1, keepdims=True)
+        path = la.choose(scores, np.full(7, 1 / 7), scores.sum(axis=0))
+        value = scores[np.arange(len(own)), path].sum() - la.SWITCH_COST * sum(a != b for a, b in zip(path, path[1:], strict=False)) - la.LANGUAGE_COST * (len(set(path)) - 1)
+        wanted = max(la._stretches(scores, c)[0] - la.LANGUAGE_COST * (size - 1) for size in range(1, 8) for c in combinations(range(7), size))
+        assert abs(value - wanted) < 1e-3
