@@ -477,8 +477,8 @@ def duplicate_groups(table: DataFrame, *, id_column: str = "row_id", text_column
     """(row_id, group_id, n_links): the connected group of every row that counts and its links to different word sets.
 
     group_id is the smallest row_id of the group; a row without a similar one is its own group.  Copies of a word
-    set count as one node, so a group of copies is never expanded into pairs.  Labels spread by joins; each round is
-    written to the shared folder.
+    set count as one node, so a group of copies is never expanded into pairs.  Labels spread by joins until none
+    moves; each round is written to the shared folder.
     """
     texts = _texts(table, id_column, text_column).where(F.col("row_id").isNotNull())
     pairs, members = similar_sets(texts, similarity, least)
@@ -487,7 +487,7 @@ def duplicate_groups(table: DataFrame, *, id_column: str = "row_id", text_column
     labels = members.groupBy("id").agg(F.min("row_id").alias("label"))
     nodes = edges.select(F.col("a").alias("id")).distinct()
     linked = cut(labels.join(nodes, "id", "left_semi"))
-    for _ in range(64):
+    while True:
         near = edges.join(linked.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = linked.join(near, "id").select("id", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
         # Follow the label of the label's own set, so that long chains close in few rounds.

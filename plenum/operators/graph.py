@@ -25,15 +25,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(nodes: DataFrame, edges: DataFrame, *, node: str = "key", rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, *, node: str = "key") -> DataFrame:
     """(key, component) of an undirected graph given as nodes and edges (a, b); component is the smallest key.
 
     Every round each node takes the smallest label around it and then the label of that label, so chains close in
-    about the logarithm of their length.  Nodes without an edge never enter the iteration.
+    about the logarithm of their length; it goes on until no label moves.  Nodes without an edge never enter the iteration.
     """
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct())
     labels = checkpointed(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "key"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
         step = labels.join(near, "key").select("key", F.least("label", "near").alias("new"), F.col("label").alias("old"))
         jump = step.join(labels.select(F.col("key").alias("new"), F.col("label").alias("further")), "new", "left")

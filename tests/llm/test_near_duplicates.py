@@ -111,3 +111,15 @@ def test_very_long_text(spark):
     text = " ".join(f"word{k}" for k in range(60_000))
     rows = [(1, text), (2, text + " more"), (3, "a b c d e f g h i j")]
     assert pairs(nd.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == {(1, 2)}
+
+
+def test_groups_go_on_until_nothing_moves(spark, monkeypatch):
+    """With a limit on the rounds, here 64 made 1, the chain of versions came out in pieces."""
+    import builtins
+
+    monkeypatch.setattr(nd, "range", lambda *a: builtins.range(1) if a == (64,) else builtins.range(*a), raising=False)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    ids = [7, 3, 9, 1, 8, 2, 6, 4, 5, 0]
+    rows = [(k, " ".join(words[i : i + 40])) for i, k in enumerate(ids)]
+    got = nd.duplicate_groups(spark.createDataFrame(rows, "row_id long, comment_text string")).collect()
+    assert len(got) == 10 and {r["group_id"] for r in got} == {0}
