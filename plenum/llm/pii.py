@@ -1,14 +1,19 @@
 """Problem 4: personal information inside free text.
 
 A linear-chain conditional random field tags each token as outside, or as the beginning or the
-inside of one of five kinds of items.  Its features are words, affixes, letter shapes, the words
-around and the forms that a stretch of tokens may have (e-mail, telephone, code, address).  It is
-trained on the driver from a small labelled table and the hand-labelled rows, and decoded by
-Viterbi for a whole batch of texts in numpy.  An exact check then trims each span to its form.
+inside of one of five kinds of items.  Its features are the words of a fixed vocabulary with their
+affixes, letter shapes, the words around and the forms that a stretch of tokens may have (e-mail,
+telephone, code, address).  A word outside the vocabulary, as nearly every name is, counts by its
+shape and its place only, so a name needs no likeness to those of the training rows.  The field is
+trained on the driver from a small labelled table and the hand-labelled rows, kept in the shared
+folder, and decoded by Viterbi for a whole batch of texts in numpy.  It decides every span; what
+follows only takes punctuation and titles off the ends.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 import unicodedata
 import zlib
@@ -21,16 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import by_batch, narrow
-from .pii_seed import labelled_table
+from .batches import by_batch, narrow, shared_folder
+from .pii_seed import labelled_table, vocabulary
 
 KINDS = ("EMAIL_ADDRESS", "PHONE_NUMBER", "ID_NUMBER", "STREET_ADDRESS", "PERSON")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 N = len(LABELS)
 #: Rows of the seed table, and hand-labelled rows that are used at most.
-SEED_ROWS, FIT_ROWS = 3600, 1500
+SEED_ROWS, FIT_ROWS = 4500, 1500
 #: Hashed features; training rounds; step.
 BUCKETS, EPOCHS, RATE, DECAY = 1 << 16, 7, 0.25, 1e-6
+#: Part of the known words that a training row hides, so that the field learns to do without any of them.
+HIDDEN = 0.15
+#: A word is ordinary if the texts have it in small letters this often and more often than capitalised; so many, the most frequent, are kept.
+LEAST_SEEN, MOST_ORDINARY = 5, 200_000
 #: Longest text that training takes, in tokens; decoding takes whole texts of any length, this many tokens of 1,024 texts at once.
 LONGEST = 400
 
@@ -109,6 +118,36 @@ def _tokens_of(text: str) -> re.Pattern:
     return _TOKEN_ASCII if text.isascii() else _TOKEN_ANY
 
 
+# Where the way of writing may change: after closing marks and line breaks.
+_SEGMENT = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
+_SHORT = re.compile(r"(?:^|[\s(.])(?:[a-z]|st|dr|mrs?|ms|rev|ave?|rd|ct|ln|blvd|apt|ste|ext|vs|no|nos|approx|eg|ie|jan|feb|mar|apr|aug|sept?|oct|nov|dec|sra?|dra|núm|ej|ul|os|al|np|nr|ok|godz|dyr)\.\s*$", re.I)
+_DOTS = re.compile(r"(?:\.\.|…)\s*$")
+#: Marks of a word in a stretch without capitals, and in one of capitals only.
+LOWER, UPPER = "\x01", "\x02"
+
+
+def word_strings(text: str) -> list[str]:
+    """The tokens of a text, with a mark on those of stretches that are written in small letters or in capitals only."""
+    pattern = _tokens_of(text)
+    whole = pattern.findall(text)
+    edges, kinds = [], []
+    for m in _SEGMENT.finditer(text):
+        piece = m[0]
+        kind = LOWER if piece.islower() else UPPER if len(piece) > 9 and piece.isupper() else ""
+        if kind == LOWER and kinds and not kinds[-1] and _DOTS.search(text, max(0, m.start() - 8), m.start()):
+            kind = ""  # a thought that goes on
+        if kind and kinds and not kinds[-1] and _SHORT.search(text, max(0, m.start() - 12), m.start()):
+            kind = ""  # what follows an abbreviation goes on as before
+        edges.append((m.start(), m.end())), kinds.append(kind)
+    if not any(kinds):
+        return whole
+    out: list[str] = []
+    for (a, b), kind in zip(edges, kinds, strict=True):
+        part = pattern.findall(text, a, b)
+        out += [w + kind if w[0].isalpha() else w for w in part] if kind else part
+    return out if len(out) == len(whole) else whole
+
+
 def forms(text: str) -> list[list[tuple[int, int]]]:
     """For each form (e-mail, telephone, code, address) the stretches of the text that have it."""
     out: list[list[tuple[int, int]]] = [[], [], [], []]
@@ -154,19 +193,33 @@ _OFFSET_OF = np.array([o for o, _ in _SLOTS])
 _FIRST = np.array([min(i for i, s in enumerate(_SLOTS) if s[0] == o) for o in OFFSETS])
 
 
-def word_features(words: list[str]) -> np.ndarray:
-    """Hashed features of each word (words x slots); slots are ordered by the offset that they speak to."""
+def word_features(words: list[str], known: frozenset[int], ordinary: frozenset[str] | set[str] = frozenset(), hidden: bool = False) -> np.ndarray:
+    """Hashed features of each word (words x slots); slots are ordered by the offset that they speak to.
+
+    A word that isn't known (see Field.known), or that is hidden, has a shape, a length, two last letters and whether
+    it is ordinary (see ordinary_words).
+    """
     traits = np.empty((len(words), len(_TRAITS)), np.uint64)
     for i, word in enumerate(words):
-        low, shape = word.lower(), _shape(word)
+        mode = word[-1] if word[-1] in (LOWER, UPPER) else ""
+        if mode:
+            word = word[:-1]
+        low, shape = word.lower(), _shape(word) + mode
         if word.isdigit():
             low = shape
+        elif _letter(word[0]) and (hidden or _crc("w", low) not in known):
+            rare = _ORDINARY if low in ordinary else _RARE
+            traits[i] = (rare, _crc("s", shape), rare, rare, rare, rare, _crc("g", low[-2:]), _crc(shape, str(rare)), min(len(low), 12))
+            continue
         traits[i] = (_crc("w", low), _crc("s", shape), _crc("e", low[-3:]), _crc("p", low[:3]), _crc("q", low[:4]), _crc("f", low[-4:]), _crc("g", low[-2:]), _crc(shape, low), min(len(low), 12))
     with np.errstate(over="ignore"):
         mixed = (traits[:, _TRAIT_OF] + _SALT) * np.uint64(0xBF58476D1CE4E5B9)
     return ((mixed >> np.uint64(33)) % np.uint64(BUCKETS)).astype(np.int32)
 
 
+_RARE, _ORDINARY = _crc("w", "\0"), _crc("w", "\1")
+
+
 def form_codes(spans: list[tuple[int, int]], found: list[list[tuple[int, int]]]) -> np.ndarray:
     """For each token the state (0 outside, 1 first, 2 inside) in each form, as one number below 81."""
     codes = np.zeros(len(spans), np.int64)
@@ -188,16 +241,28 @@ def form_codes(spans: list[tuple[int, int]], found: list[list[tuple[int, int]]])
 
 @dataclass
 class Field:
-    """Weights of the field: hashed word features, form states at three offsets, and steps between labels."""
+    """Weights of the field: hashed word features, form states at three offsets, and steps between labels; and the known words."""
 
     word: np.ndarray  # BUCKETS x N
     form: np.ndarray  # 3 x 81 x N
     step: np.ndarray  # N x N
     start: np.ndarray  # N
+    known: frozenset[int]  # hashes
 
     @classmethod
     def empty(cls) -> Field:
-        return cls(np.zeros((BUCKETS, N), np.float32), np.zeros((3, 81, N), np.float32), np.zeros((N, N), np.float32), np.zeros(N, np.float32))
+        known = frozenset(_crc("w", w) for w in vocabulary())
+        return cls(np.zeros((BUCKETS, N), np.float32), np.zeros((3, 81, N), np.float32), np.zeros((N, N), np.float32), np.zeros(N, np.float32), known)
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez_compressed(out, word=self.word, form=self.form, step=self.step, start=self.start, known=np.array(sorted(self.known), np.int64))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Field:
+        with np.load(io.BytesIO(data), allow_pickle=False) as kept:
+            return cls(kept["word"], kept["form"], kept["step"], kept["start"], frozenset(kept["known"].tolist()))
 
 
 def _allowed() -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +284,8 @@ class Decoder:
 
     MEMORY = 150_000
 
-    def __init__(self, field: Field) -> None:
-        self.field = field
+    def __init__(self, field: Field, ordinary: frozenset[str] = frozenset()) -> None:
+        self.field, self.ordinary = field, ordinary
         self.step, self.start = field.step + STEP_MASK, field.start + START_MASK
         # No labelled stretch can pay if every token of a text loses more than all steps could win back.
         inner = np.where(field.step + STEP_MASK > -1e3, field.step, -np.inf)
@@ -241,7 +306,7 @@ class Decoder:
             part = fresh[begin : begin + 4096]
             while self.rows + len(part) > self.table.shape[1]:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
-            values = np.add.reduceat(self.field.word[word_features(part)], _FIRST, axis=1)
+            values = np.add.reduceat(self.field.word[word_features(part, self.field.known, self.ordinary)], _FIRST, axis=1)
             self.table[:, self.rows : self.rows + len(part)] = values.transpose(1, 0, 2)
             known.update(zip(part, range(self.rows, self.rows + len(part)), strict=True))
             self.rows += len(part)
@@ -367,17 +432,23 @@ def label_ids(spans: list[tuple[int, int]], items: list[tuple[int, int, str]]) -
 def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPOCHS, seed: int = 5, field: Field | None = None) -> Field:
     """Maximum likelihood by AdaGrad on minibatches; the expectations come from forward-backward over a padded batch."""
     field = field or Field.empty()
-    prepared, cache = [], {}
+    prepared, cache, hidden = [], {}, {}
+    draw = np.random.default_rng(seed + 1)
     for text, items in rows:
         spans = tokens(text)
         if not spans or len(spans) > LONGEST:
             continue
-        strings = [text[a:b] for a, b in spans]
+        strings = word_strings(text)
         strings = ["0" * min(len(w), 12) if w.isdigit() and w.isascii() else w for w in strings]
         fresh = [w for w in dict.fromkeys(strings) if w not in cache]
         if fresh:
-            cache.update(zip(fresh, word_features(fresh), strict=True))
-        rows_of = np.stack([cache[w] for w in strings])
+            everything = {w.rstrip(LOWER + UPPER).lower() for w in fresh}
+            cache.update(zip(fresh, word_features(fresh, field.known), strict=True))
+            hidden.update(zip(fresh, word_features(fresh, field.known, everything, hidden=True), strict=True))
+        # A hidden word is an ordinary one, most of the time; an unknown one hardly ever is.
+        chance = draw.random(len(strings))
+        known = [_crc("w", w.rstrip(LOWER + UPPER).lower()) in field.known for w in strings]
+        rows_of = np.stack([hidden[w] if c < (HIDDEN if k else 0.03) else cache[w] for w, k, c in zip(strings, known, chance, strict=True)])
         # Word u speaks with its slots of offset o about token u - o.
         about = np.arange(len(spans))[:, None] - _OFFSET_OF
         inside = (about >= 0) & (about < len(spans))
@@ -458,6 +529,8 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 _TITLE = re.compile(r"^(?:mrs?|ms|miss|dr|rev|prof|sra?|srta|dra|dona|doña|don|pani|pan|hon)\b\.?\s+", re.I)
 
 
+_WAY_END = re.compile(r"\b(?:st|ave?|rd|ln|dr|ct|blvd|pkwy|hwy|cir|sq|ter|apt|ste)$", re.I)
+_END_IN_ADDRESS = re.compile(r"\n|\.(?=\s+[A-Z])")
 _END_IN_NAME = re.compile(r"(?<=[^\W\d_]{3})[.!?]+\s+")
 
 
@@ -471,19 +544,21 @@ def _split(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return [parts[0], *(p for p in parts[1:] if len(text[p[0] : p[1]].split()) > 1)]
 
 
-def _trim(text: str, a: int, b: int, kind: str, found: list[list[tuple[int, int]]]) -> tuple[int, int] | None:
-    """The exact span of an item: that of its form where it has one; None if it can't be an item."""
-    k = KINDS.index(kind)
-    if k < 4:
-        near = [(min(b, y) - max(a, x), x, y) for x, y in found[k] if min(b, y) > max(a, x)]
-        if not near:
-            return None
-        _, a, b = max(near)
-        if kind == "STREET_ADDRESS" and text[b - 1] == "." and _ends_sentence(text, b):
-            b -= 1
-        while b > a and text[b - 1] in ",;: -":
+def _trim(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """The span without punctuation, blanks and titles at its ends; None if nothing is left that could be an item."""
+    if kind == "STREET_ADDRESS":
+        for m in _END_IN_ADDRESS.finditer(text, a, b):
+            if m[0][0] == "\n" or _ends_sentence(text, m.start() + 1):
+                b = m.start() + 1
+                break
+    if kind != "PERSON":
+        while a < b and text[a] in " ,;:.-":
+            a += 1
+        while b > a and (text[b - 1] in " ,;:-" or text[b - 1] == "." and (kind != "STREET_ADDRESS" or _ends_sentence(text, b))):
             b -= 1
-        return (a, b) if b > a else None
+        if kind == "STREET_ADDRESS" and text[b : b + 1] == "." and _WAY_END.search(text, max(0, b - 8), b) and not _ends_sentence(text, b + 1):
+            b += 1
+        return (a, b) if any((c.isalpha() if kind == "STREET_ADDRESS" else c.isalnum()) for c in text[a:b]) else None
     while a < b and not _letter(text[a]):
         a += 1
     m = _TITLE.match(text, a, b)
@@ -524,13 +599,13 @@ def find_items(texts: list[str], decoder: Decoder) -> list[list[tuple[int, int,
     """Items (start, end, type) of each text, in order and without overlaps."""
     whole, owner = [], []
     for k, text in enumerate(texts):
-        strings = _tokens_of(text).findall(text)
+        strings = word_strings(text)
         if strings:
             whole.append((text, strings, forms(text))), owner.append(k)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     offsets: dict[int, list[tuple[int, int]]] = {}
     paths = decoder.decode(decoder.scores(whole, offsets))
-    for number, (k, (text, _, found), path) in enumerate(zip(owner, whole, paths, strict=True)):
+    for number, (k, (text, _, _), path) in enumerate(zip(owner, whole, paths, strict=True)):
         hit = np.flatnonzero(path)
         if not len(hit):
             continue
@@ -546,7 +621,7 @@ def find_items(texts: list[str], decoder: Decoder) -> list[list[tuple[int, int,
             while j < n and LABELS[path[j]] == "I-" + kind:
                 j += 1
             for a, b in _split(text, spans[i][0], spans[j - 1][1]) if kind == "PERSON" else ((spans[i][0], spans[j - 1][1]),):
-                span = _trim(text, a, b, kind, found)
+                span = _trim(text, a, b, kind)
                 if span and not (out[k] and out[k][-1][1] > span[0]):
                     out[k].append((*span, kind))
             i = j
@@ -582,7 +657,25 @@ def labelled_rows(cases: DataFrame, *, text_column: str = "text", names_column:
     return [(r["text"], [n for n in r["names"] if n]) for r in picked.orderBy(F.xxhash64("k"), "k").limit(rows).collect()]
 
 
-def tag(table: DataFrame, field: Field, *, id_column: str, text_column: str) -> DataFrame:
+def ordinary_words(*texts: DataFrame) -> frozenset[str]:
+    """Words that the texts (one column each) write in small letters at least LEAST_SEEN times and more often than capitalised.
+
+    Counted over all texts with partial sums; MOST_ORDINARY bounds what reaches the driver and the tasks.  The field
+    sees of these words only that they are in use: a name hardly ever is.
+    """
+    both = None
+    for part in texts:
+        one = part.select(F.explode(F.regexp_extract_all(part[0].cast("string"), F.lit(r"\p{L}[\p{L}\p{M}]+"), F.lit(0))).alias("w"))
+        both = one if both is None else both.unionByName(one)
+    low = F.lower("w")
+    # In a script without capitals every word would seem ordinary: only words that could be capitalised count.
+    small, capital = ((F.col("w") == low) & (F.col("w") != F.upper("w"))).cast("long"), ((F.substring("w", 1, 1) != F.substring(low, 1, 1)) & (F.col("w") != F.upper("w"))).cast("long")
+    counted = both.groupBy(low.alias("word")).agg(F.sum(small).alias("small"), F.sum(capital).alias("capital"))
+    kept = counted.where((F.col("small") >= LEAST_SEEN) & (F.col("small") > F.col("capital"))).orderBy(F.desc("small"), "word").limit(MOST_ORDINARY)
+    return frozenset(kept.select("word").toPandas()["word"])
+
+
+def tag(table: DataFrame, field: Field, *, id_column: str, text_column: str, ordinary: frozenset[str] = frozenset()) -> DataFrame:
     """(row_key, start_pos, end_pos, pii_type) of every item of every text; null, empty and blank texts have none.
 
     Repeated rows each give their rows; null ids stay null; extra columns are ignored; an empty table gives an
@@ -590,10 +683,10 @@ def tag(table: DataFrame, field: Field, *, id_column: str, text_column: str) ->
     """
     source = narrow(table, row_key=id_column, text=text_column).select(F.col("row_key").cast("long").alias("row_key"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     # A model is a few megabytes: a broadcast variable sends it once to each executor.
-    shared = table.sparkSession.sparkContext.broadcast(field)
+    shared = table.sparkSession.sparkContext.broadcast((field, ordinary))
 
     def make():
-        decoder = Decoder(shared.value)
+        decoder = Decoder(*shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, starts, ends, kinds = [], [], [], []
@@ -609,15 +702,15 @@ def tag(table: DataFrame, field: Field, *, id_column: str, text_column: str) ->
     return by_batch(source, SPANS, make)
 
 
-def redact(table: DataFrame, field: Field, *, text_column: str, output_column: str = "redacted_text") -> DataFrame:
+def redact(table: DataFrame, field: Field, *, text_column: str, output_column: str = "redacted_text", ordinary: frozenset[str] = frozenset()) -> DataFrame:
     """The table with one more column: the text with each item replaced by its type in brackets, all else unchanged; null stays null."""
-    shared = table.sparkSession.sparkContext.broadcast(field)
+    shared = table.sparkSession.sparkContext.broadcast((field, ordinary))
 
     @F.pandas_udf(T.StringType())
     def run(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        decoder = Decoder(shared.value)
+        decoder = Decoder(*shared.value)
         known = [t for t in texts if t is not None]
         parts = (known[begin : begin + 1024] for begin in range(0, len(known), 1024))
         done = iter([_replace(t, i) for part in parts for t, i in zip(part, find_items(part, decoder), strict=True)])
@@ -634,33 +727,50 @@ def _replace(text: str, items: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[last:]
 
 
-_fields: dict[int, Field] = {}
+_fields: dict[str, Field] = {}
 
 
 def fitted(cases: DataFrame, **options: object) -> Field:
-    """fit() on the table's labelled rows; the same rows give the same field without another training in this process."""
+    """fit() on the table's labelled rows.
+
+    The field lies in the shared folder under a digest of the rows and of the seed table: the same rows give the same
+    field without another training, in this process or in another.
+    """
     rows = labelled_rows(cases, **options)
-    key = zlib.crc32(repr(rows).encode("utf-8", "surrogatepass"))
-    if key not in _fields:
-        _fields.clear()
-        _fields[key] = fit(rows)
-    return _fields[key]
+    digest = hashlib.sha256(repr((rows, SEED_ROWS, EPOCHS, HIDDEN, BUCKETS, labelled_table(200), sorted(vocabulary()))).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+    if digest in _fields:
+        return _fields[digest]
+    spark = cases.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/pii-field-{digest}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        field = Field.from_bytes(bytes(spark.read.parquet(path).first()["field"]))
+    else:
+        field = fit(rows)
+        spark.createDataFrame([(bytearray(field.to_bytes()),)], "field binary").coalesce(1).write.mode("overwrite").parquet(path)
+    _fields.clear()
+    _fields[digest] = field
+    return field
+
+
+def _ordinary(benchmark: DataFrame, cases: DataFrame) -> frozenset[str]:
+    return ordinary_words(narrow(benchmark, text="comment_text"), narrow(cases, text="text"))
 
 
 def found(benchmark: DataFrame, cases: DataFrame) -> DataFrame:
     """(src_name, row_key, start_pos, end_pos, pii_type) over both tables; labelled cases are left out."""
-    field = fitted(cases)
-    comments = tag(benchmark, field, id_column="row_id", text_column="comment_text").select(F.lit("comment").alias("src_name"), "row_key", "start_pos", "end_pos", "pii_type")
-    texts = tag(cases.where(F.col("names").isNull()), field, id_column="case_id", text_column="text").select(F.lit("case").alias("src_name"), "row_key", "start_pos", "end_pos", "pii_type")
+    field, ordinary = fitted(cases), _ordinary(benchmark, cases)
+    comments = tag(benchmark, field, id_column="row_id", text_column="comment_text", ordinary=ordinary).select(F.lit("comment").alias("src_name"), "row_key", "start_pos", "end_pos", "pii_type")
+    texts = tag(cases.where(F.col("names").isNull()), field, id_column="case_id", text_column="text", ordinary=ordinary).select(F.lit("case").alias("src_name"), "row_key", "start_pos", "end_pos", "pii_type")
     return comments.unionByName(texts)
 
 
 def redacted(benchmark: DataFrame, cases: DataFrame) -> DataFrame:
     """(src_name, row_key, redacted_text) of every row of both tables, labelled cases included; null texts stay null."""
-    field = fitted(cases)
+    field, ordinary = fitted(cases), _ordinary(benchmark, cases)
 
     def of(table: DataFrame, name: str, id_column: str, text_column: str) -> DataFrame:
         source = narrow(table, row_key=id_column, text=text_column).select(F.lit(name).alias("src_name"), F.col("row_key").cast("long").alias("row_key"), "text")
-        return redact(source, field, text_column="text").select("src_name", "row_key", "redacted_text")
+        return redact(source, field, text_column="text", ordinary=ordinary).select("src_name", "row_key", "redacted_text")
 
     return of(benchmark, "comment", "row_id", "comment_text").unionByName(of(cases, "case", "case_id", "text"))

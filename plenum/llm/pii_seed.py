@@ -1,39 +1,31 @@
 """A small labelled table of personal information for the tagger of `pii`, written for this project.
 
-Each row is a sentence pattern.  Fields in braces are filled in by rule from short lists, and the fields
-named P (person), E (e-mail), T (telephone), I (identity number) and A (street address) carry labels.
-Lower-case fields are the look-alikes that must stay unlabelled.  Names, places and numbers are invented.
+Each row is a sentence pattern.  Fields in braces are filled in by rule, and the fields named P (person),
+E (e-mail), T (telephone), I (identity number) and A (street address) carry labels.  Lower-case fields are
+the look-alikes that must stay unlabelled.
+
+Names of persons, streets and places are put together letter by letter, new ones for each row, by the same
+rule: a word by itself never tells which of them it is, so the tagger has to learn the words around it.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
-PERSON_EN = "Harriet Callum Priya Desmond Lucinda Marcus Gregory Fatima Rashid Bethany Omar Yolanda Silas Imogen Winston Delphine Tobias Naomi Percy Shanice Anneke Theo Rupert Maribel Alice Victor Hannah Samuel Ingrid Leo Ruth Dennis Carla Noel Agnes Felix Joan Malik Stella Hugo".split()
-PERSON = {
-    "en": PERSON_EN,
-    "es": "Ezequiel Inés Íñigo Pilar Anselmo Jimena Ramiro Noemí Consuelo Joaquín Rocío Mateo Lucía Esteban".split(),
-    "pt": "Luzia Getúlio Iracema Fabrício Otávio Conceição Joana Tiago Beatriz Rui Mariana Caetano".split(),
-    "pl": "Cezary Łucja Jagoda Witold Bożena Halina Zdzisław Mirosław Agnieszka Jerzy Wanda Krzysztof".split(),
+# Letters that open, carry and close a syllable; names mix the alphabets, as people of everywhere write in.
+LATIN = {
+    "en": ("b br bl c ch cl cr d dr f fl fr g gl gr h j k l m n p ph pl pr qu r s sh sk sl sp st t th tr v w wh y z".split(), "a e i o u ai ea ee ie oo ou y".split(), ["", "", "", *"b ck d ff g l ll m n nd ng nt p r rd rk rn rt s ss st t th x".split()]),
+    "es": ("b c ch d f g j l ll m n ñ p qu r s t v z br tr gr".split(), "a e i o u á é í ó ie ue ia".split(), ["", "", "", *"n r s l z d".split()]),
+    "pt": ("b c ç d f g j l lh m n nh p r s t v x z br tr".split(), "a e i o u ã á ê ó õe ei ou ão".split(), ["", "", "", *"s r m l z".split()]),
+    "pl": ("b c ch cz d dz f g j k l ł m n ń p r rz s sz ś t w z ż ź prz trz".split(), "a e i o u y ą ę ó ie ia".split(), ["", "", "", *"k n r s w cz sz ł m j".split()]),
+    "xx": ("b bh d dh g gh h j k kh kw l m mb n nd ng nk ny o r s sh sr t ts v y zh ö ü".split(), "a aa e i o u ei oe uu ä ö ü å".split(), ["", "", "", *"n ng k m r h l t".split()]),
 }
-_SUR_A = "Ald Bran Dol Fen Gar Hav Kest Len Mor Nik Ost Pav Quin Ras Tov Vel Har Bel Cor Lind Stan Wes".split()
-_SUR_B = "aldo ara dell enko escu etti hurst ikov imer ley moor ovic quist sen ton wright son man berg ski ez ard".split()
-_PLACE_A = "Kettle Fennim Tivven Sorrel Alder Brack Cald Denny Dunmer Esk Falk Gant Grell Hasp Hollin Ivor Jessam Lark Lomer Mazen Morrow Nettle Orrin Osk Pell Pinder Quarr Quell Rusk Sallow Tamsel Thorn Ulver Umber Varn Wex Wick Yarrow Zell Ash Bram Stone Elm".split()
-_PLACE_B = "bank by combe dale den field ford gate grove holm hurst low ley mere moor ridge stead thorpe wick worth wood ham".split()
-_ROM_A = "Alm Arc Ben Bris Cand Dorm Esp Far Gir Huer Isl Jar Lind Mir Nog Oliv Pint Quer Ros Sierr Trem Vald Verd Zarz".split()
-_ROM_B = "acinta adonda abreda adrillo afuente agrana alejo amera amosa anera aquivo arral asanga atorre avilla azuela".split()
-_POL_A = "Brzow Dębow Grabow Jawow Kalinow Klonow Leszczyw Malinow Modrzew Olszow Ostrow Sosnow Topow Wierzbow Wrzow Żytnow".split()
-_POL_B = "any ice iczki ierz iny isko itka nica niki ola".split()
-_ZH_A, _ZH_B, _ZH_C = "云兰岚桂松枫柳梧棠楠沐浦澄溪石竹荷锦银雁青鹤霖霞", "冈台圃坡坪垣塘岭崖庄屏杨桥泉洲渡湾溪陵堤", "上下东西北南前后口新旧里"
-_ZH_SUR, _ZH_GIVEN = "乔季康温祝裴邵陆项骆沈林周陈王", "云栀 书澈 亦舟 思岑 景澄 洛宁 知禾 砚秋 若棠 明轩 雨桐 建国 小红 文博".split()
-_HI_A, _HI_B = "आम केस गुल चंद देव नीम पीप बेल मोर राम शिव सूर सोन हरि".split(), "कोट खेड़ा गंज गढ़ टोला नगर पुर बाग वाड़ा सराय".split()
-_HI_C = "ऊपरी निचला नया पुराना छोटा बड़ा".split()
-_HI_FIRST, _HI_LAST = "देवांश तारिणी यशवंत निखिलेश ओजस मंजरी अनिकेत वैदेही राजेश सुनीता प्रिया अमित".split(), "नवरंगी टोडरिया कंसारा सिरपुरे बेलवाल शर्मा वर्मा यादव पटेल सिंह".split()
-_AR_A = "البلوط التين الرمان الريحان الزيتون السنديان الصنوبر الكرم اللوز النخيل الورد الياسمين".split()
-_AR_B = "الأعلى الأسفل الأوسط الجديد القديم الشرقي الغربي الشمالي الجنوبي الكبير".split()
-_AR_FIRST, _AR_LAST = "مازن تالا شهاب لبنى قصي رهف وائل سلمى يوسف مريم خالد هدى".split(), "الدوراني البلوطي السنجاري المرجاني الزعتري الحداد النجار الخطيب".split()
-_STREET = "Street St St. Avenue Ave Ave. Road Rd Rd. Lane Ln. Drive Dr Dr. Court Ct Ct. Place Terrace Crescent Close Boulevard Blvd Blvd. Parkway Pkwy Way Square".split()
-_DOMAIN = "example.com example.org example.net mail.example.org homes.example.com ward.example families.invalid post.test".split()
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Given names that are ordinary words too: only the words around tell.
+AMBIGUOUS = "April Art Bill Carol Chance Chase Dawn Faith Frank Gene Grace Grant Guy Hope Hunter Iris Ivy Joy June Lily Mark Mason Max May Mercy Miles Nick Olive Pat Penny Rich Rob Rose Ruby Sandy Skip Summer Sunny Violet Will".split()
+_STREET = "Street St St. Avenue Ave Ave. Road Rd Rd. Lane Ln. Drive Dr Dr. Court Ct Ct. Place Terrace Crescent Close Boulevard Blvd Blvd. Parkway Pkwy Way Square Circle Trail".split()
+_TOP = "com org net edu test example invalid info".split()
 _MONTHS = "January March May June August September October November Jan. Aug. Sept. Oct.".split()
 
 PATTERNS = {
@@ -154,7 +146,38 @@ I am worn down about {thing}, especially {when} at {place} {school}.
 Many renters from {place} asked the {body} to {do}, approx. {n} times by my count.
 “Come back later?” asked one speaker from {place} {when}.
 A sign at {place} {school} reads "We hear you!" and it stayed up.
-Mrs. Jones Primary is not a person here, said the {body}.""",
+Dear {P}, thank you for the letter about {thing}.
+Attn: {P}, {body}.
+Signed, {P}
+Yours, {P}
+Regards, {P} and {P}.
+According to {P}, the {body} never answered.
+I spoke with {P} {when} about {thing}.
+My brother {P} and my aunt {P} came along.
+The letter was sent by {P} on {date}.
+{P}, who lives at {A}, asked about {thing}.
+{P} lives at {A} and can be reached at {T}.
+We met {P} at the {eponym} {when}.
+Her name is {P} and she teaches at {place} {school}.
+Ask {P} or the {body} about {code}.
+It was {P}'s idea to {do}.
+{noun} from {place} asked the {body} to {do}.
+{noun} and {noun} waited at the {eponym} {when}.
+{noun} in {place} mentioned {thing}.
+The {eponym} is closed {when}.
+The {noun} {noun} at {place} {school} needs {n} chairs.
+Welcome to {place}, said the {noun} on the bus.
+{place} and {place} share route {n}.
+Mrs. {place} Primary is not a person here, said the {body}.
+The {eponym} pool opens at {time}.
+They said "not yet" and "no, not now" and closed {code}.
+I am quietly hopeful about {thing}, and so is the {body}.
+Several {noun} near {place} {school} waited {n} minutes.
+Half of the {noun} at {place} never read {code}.
+Older people from {place} asked the {body} to {do}.
+We plan around guesses... and still {thing} stays.
+Please read this aloud to the {body}.
+Twelve weeks in a row the {noun} near {place} stayed dark.""",
     "es": """Me llamo {P} y represento a {n} familias de {place}.
 La Sra. {P} habló en {place} {when}.
 El Sr. {P} habló en {place} {when}.
@@ -179,7 +202,12 @@ Si quieren reparar la entrada, empiecen por {place}, p. ej. con el aula {n}.
 No entiendo por qué todos preguntan lo mismo en {place} mientras sobran {d4} dólares.
 Pedimos publicar las actas en la escuela {place} antes del día {n}.
 En {place} las cuidadoras aguantan {thing} y por eso las clases se llenan, según conté {n} veces.
-El martes pasado conté {n} personas en {place} hablando de {thing}.""",
+El martes pasado conté {n} personas en {place} hablando de {thing}.
+En {place} muchas madres aguantan {thing}.
+En {place} varias familias y los mayores esperan {n} minutos {when}.
+En {place} nadie sabe quién decide.
+¡Basta de {thing} en {place}!
+Según la directora de {place}, {thing} sigue igual.""",
     "pt": """Meu nome é {P} e falo por {n} famílias de {place}.
 O Sr. {P} falou em {place} {when}.
 A Sra. {P} falou em {place} {when}.
@@ -198,7 +226,10 @@ Quando vão publicar as atas em {place}, se já são {d4} reclamações?
 Os motoristas juntaram {d4} assinaturas em {place} para traduzir o folheto.
 Minha filha espera em {place} uns {n} minutos {when} e o pátio fica escuro.
 Obrigado a as professoras de {place} por ouvir os jovens, embora os idosos ficam de fora.
-Desde o outono contei {n} pessoas em {place} falando sobre {thing}.""",
+Desde o outono contei {n} pessoas em {place} falando sobre {thing}.
+Em {place} os motoristas aguentam {thing} e por isso as aulas enchem.
+Em {place} ninguém sabe quem decide.
+Chega de {thing} em {place}!""",
     "pl": """Nazywam się {P} i mówię w imieniu {n} rodzin z {place}.
 Pani {P} zabrała głos w {place} {when}.
 Pan {P} zabrał głos w {place} {when}.
@@ -219,6 +250,12 @@ Nie rozumiem, czemu tracimy godziny pracy w {place}, gdy zostało {d4} zł.
 Dziękuję, że rodzice z {place} chcą kupić zeszyty, choć minęło {n} dni.
 W szkole {place} opiekunowie znoszą {thing}, dlatego klasy są przepełnione już {n} raz.
 Prosimy zatrudnić psychologa w {place} do {n} dnia miesiąca.
+W {place} nikt nie wie, kto decyduje.
+Dziękuję, że opiekunowie z {place} chcą dodać napisy.
+Nowi uczniowie z {place} i sąsiedzi z {place} czekają.
+Szkoła {place} jest {n} minut stąd.
+Dzieci spóźniają się w {place}, a rodzice w {place} czekają {n} minut.
+Trzeba naprawić wejście i dodać światło w {place}.
 Kiedy wreszcie ktoś zdecyduje kupić zeszyty w {place}, skoro jest {d4} skarg?""",
     "zh": """我叫{P}，代表{place}的{n}户家庭。
 {P}老师{when}在{place}发言。
@@ -240,7 +277,12 @@ Kiedy wreszcie ktoś zdecyduje kupić zeszyty w {place}, skoro jest {d4} skarg?"
 “操场一片漆黑！”{place}的老师们在{h}:{m}喊道。
 请在第{n}天之前到{place}公布会议记录。
 {place}已经有{d4}条投诉，你们什么时候才能加上字幕？
-{when}我在{place}看到{n}个人在谈论来信没人回。""",
+{when}我在{place}看到{n}个人在谈论来信没人回。
+希望{place}学校再请一位数学老师。
+请{place}加一位心理老师，还有一位体育老师。
+{P}老师说{place}的实验室空着。
+{P}女士{when}在{place}发言，{P}没有来。
+我们的班主任老师和校长先生都没有回答。""",
     "hi": """मेरा नाम {P} है और मैं {place} के {n} परिवारों की ओर से बोल रहा हूँ।
 श्री {P} ने {place} में बात की।
 मुझसे {T} पर या {E} पर संपर्क करें, {place} केंद्र।
@@ -254,6 +296,7 @@ Kiedy wreszcie ktoś zdecyduje kupić zeszyty w {place}, skoro jest {d4} skarg?"
 मुझे समझ नहीं आता कि {place} में {d4} रुपये बचने पर भी बच्चे देर से पहुँचते हैं।
 {place} से {d4} शिकायतें आ चुकी हैं, आप कब कहेंगे कि कापियाँ खरीदें?
 {place} में दादा-दादी बंद लिफ्ट झेल रहे हैं और हमारा काम छूटता है, मैंने {n} बार गिना।
+नए छात्र ने {place} में बात की और अभिभावक ने फाटक के बारे में पूछा।
 परीक्षा से पहले मैंने {place} में {n} लोगों को किताबों की कमी पर बात करते सुना।""",
     "ar": """اسمي {P} وأتحدث باسم {n} أسرة في {place}.
 تحدث السيد {P} في {place} {when}.
@@ -269,15 +312,24 @@ Kiedy wreszcie ktoś zdecyduje kupić zeszyty w {place}, skoro jest {d4} skarg?"
 متى سيتم نشر المحاضر في {place} وقد وصلت {d4} شكوى؟
 لا أفهم لماذا نخسر ساعات العمل في {place} مع بقاء {d4} دينار.
 في مدرسة {place} يعاني السائقون من الممر الضيق ولذلك تمتلئ الصفوف، وقد عددتها {n} مرة.
-{when} رأيت في {place} {n} شخصا يتحدثون عن نقص الكتب.""",
+{when} رأيت في {place} {n} شخصا يتحدثون عن نقص الكتب.
+نرجو ترجمة المنشور في {place}.
+نرجو فتح الباب الخلفي في {place} وشراء المقاعد.
+متى سيتم شراء الدفاتر في {place}؟
+متى سيتم تعيين معلم جديد أو إعادة الموقف في {place}؟
+اسمي {P} وأنا من {place}.
+قال السيد {P} إن {place} بعيدة.""",
 }
 
 _THING = {"en": "the late bus;the broken buzzer;the fare change;the tiny print;the unsent letters;the counselor waiting list;the driver shortage;the shared therapist;the quiet policy shift;the missing ramp;the unheated shuttle;the narrow ramp;the unpaid tutoring hours", "es": "la puerta rota;el autobús tardío;la lista de espera;las cartas sin respuesta;el pasillo sin luz;la consejera ausente", "pt": "a rampa estreita;o ônibus atrasado;as cartas sem resposta;o elevador parado;a fila de espera", "pl": "wąski podjazd;ciemny korytarz;zepsutą bramę;spóźniony autobus;listy bez odpowiedzi"}
 _WHEN = {"en": "last Tuesday;after the vote;since the merger;every rainy morning;before the first bell;shortly after pickup;at the start of term;during the June session;over the long weekend;once the snow melted;on the second evening;in the middle of exams", "es": "después de la votación;cada mañana de lluvia;el martes pasado;antes del examen;en plena asamblea;al empezar el curso;este otoño;desde la primavera", "pt": "depois da votação;toda manhã de chuva;na terça passada;antes da prova;desde o outono;nesta primavera", "pl": "przed egzaminem;w zeszły wtorek;po głosowaniu;tej jesieni;od wiosny;na początku semestru;w każdy deszczowy ranek", "zh": "上周二;今年秋天;春天以来;考试之前;投票之后;刚开学时;每个下雨的早晨", "hi": "वसंत से", "ar": "يوم الثلاثاء الماضي;بعد التصويت;قبل الامتحان;منذ الربيع;في كل صباح ماطر"}
 _DO = "fix the gate;raise driver pay;publish arrival figures;open the storeroom audit;translate the flyer;hire a second math teacher;send reminders by text;share the drill results;test the tracking app;keep one calendar;widen the ramp;log every question;offer large print;move to a step-free room;caption the recording;split the long loop;light the back path;warn us before a cancellation".split(";")
 _BODY = "planning staff;transport unit;ombuds team;budget committee;hearing clerk;district board;ward office;enrollment window;grants office;facilities desk;principal;curriculum lead".split(";")
-_SCHOOL = "Elementary;High School;Middle School;Academy;Library;campus;annex;Field House;Learning Center;Park entrance".split(";")
-_EPONYM = "Jordan Hall;Harlan Mott Library;Casey Field;Madison Park;Rose Garden;Mark Twelve reader;Grace period;May session;Summer Bridge program;Will of the Ward committee;Walk Together pledge;Open Doors drive;Fair Rooms postcard;Lincoln Center;Martin Chapel;Victoria Hall;Grant Avenue school;Frank Street bakery;June Fair;Carter Gym;Faith Hill chapel".split(";")
+_SCHOOL = "Elementary;High School;Middle School;Primary;Academy;Library;campus;annex;Field House;Learning Center;Park entrance;College".split(";")
+#: What is often named after a person, and words that stand in titles of other things.
+_HALL = "Hall;Library;Field;Park;Garden;Center;Gym;Chapel;Museum;Clinic;Foundation;Bridge;Tower;House;Bakery;Fund;Auditorium;Pool;Station;Theater;Avenue;Street school;Memorial".split(";")
+_TITLE = "Open;Fair;Walk;Safe;Bright;Green;Second;First;Common;Public;Good;Better;Doors;Rooms;Together;Future;Voices;Steps;Roads;Start;Summer;Reading;Winter;Community;Twelve;Family".split(";")
+_DRIVE = "drive;pledge;postcard;program;reader;committee;campaign;project;fair;session;period;week;club;series".split(";")
 _IDWORD = "SSN;social;Social Security number;social security;driver's license;licence;license;passport;passport number;student ID;student number;pupil ID;member ID;benefits card;benefits number;state ID;medicaid number;case member number;national ID;insurance number;ID".split(";")
 
 
@@ -290,35 +342,59 @@ class _Fill:
     def pick(self, listed: list[str] | str) -> str:
         return self.r.choice(listed.split(";") if isinstance(listed, str) and ";" in listed else listed)
 
+    def digits(self, k: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(k))
+
+    def word(self, least: int = 1, most: int = 3) -> str:
+        """An invented word, capitalised."""
+        r = self.r
+        onset, vowel, coda = LATIN[self.language if self.language in LATIN and r.random() < 0.75 else r.choice(list(LATIN))]
+        n = r.randint(least, most)
+        out = "".join((r.choice(onset) if k or r.random() < 0.85 else "") + r.choice(vowel) + (r.choice(coda) if k == n - 1 or r.random() < 0.4 else "") for k in range(n))
+        return (out if len(out) > 1 else out + r.choice("nrslt")).capitalize()
+
+    def han(self, k: int) -> str:
+        """Chinese characters of the first level of the old national standard, whose rows are 16 to 55."""
+        return "".join(bytes([self.r.randint(0xB0, 0xD6), self.r.randint(0xA1, 0xFE)]).decode("gb2312") for _ in range(k))
+
+    def hindi(self, n: int) -> str:
+        r = self.r
+        return "".join(r.choice("कखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह") + r.choice(["", "", "ा", "ि", "ी", "ु", "ू", "े", "ो", "ं"]) for _ in range(n))
+
+    def arabic(self, n: int) -> str:
+        return "".join(self.r.choice("ابتثجحخدذرزسشصضطعغفقكلمنهويى") for _ in range(n))
+
     def surname(self) -> str:
-        one = self.pick(_SUR_A) + self.pick(_SUR_B)
-        k = self.r.random()
+        one, k = self.word(), self.r.random()
         if k < 0.1:
-            return one + "-" + self.pick(_SUR_A) + self.pick(_SUR_B)
-        return "O'" + one if k < 0.16 else one
+            return one + "-" + self.word()
+        if k < 0.15:
+            return self.pick(["O'", "D'", "Mc", "O’"]) + one
+        return self.pick(["de ", "van ", "von ", "al-", "da "]) + one if k < 0.18 else one
 
     def P(self) -> str:
+        r = self.r
         if self.language == "zh":
-            return self.pick(_ZH_SUR) + self.pick(_ZH_GIVEN)
+            return self.han(r.choice((2, 3, 3, 3)))
         if self.language == "hi":
-            return f"{self.pick(_HI_FIRST)} {self.pick(_HI_LAST)}"
+            return f"{self.hindi(r.randint(2, 4))} {self.hindi(r.randint(2, 5))}"
         if self.language == "ar":
-            return f"{self.pick(_AR_FIRST)} {self.pick(_AR_LAST)}"
-        first = self.pick(PERSON[self.language])
-        k = self.r.random()
+            return f"{self.arabic(r.randint(3, 5))} {self.pick(['ال', 'ال', ''])}{self.arabic(r.randint(3, 7))}"
+        first, k = self.pick(AMBIGUOUS) if r.random() < 0.08 and self.language == "en" else self.word(), r.random()
         if k < 0.2:
-            first = self.pick("ABCDEFGHIJKLMNOPQRSTUVWYZ") + "."
+            first = self.pick(LETTERS) + "."
         elif k < 0.3:
-            first += f" {self.pick('ABCDEFGHIJKLMNOPQRSTUVWYZ')}."
+            first += f" {self.pick(LETTERS)}."
         last = self.surname()
-        if self.language in ("es", "pt") and self.r.random() < 0.3:
+        if self.language in ("es", "pt") and r.random() < 0.3:
             last += " " + self.surname()
         return f"{first} {last}"
 
     def E(self) -> str:
         r = self.r
-        local = self.pick(_SUR_A).lower() + self.pick(["", ".", "_", "-"]) + (self.pick(_SUR_A) + self.pick(_SUR_B)).lower() + self.pick(["", "", str(r.randrange(1000))]) + self.pick(["", "", "", "+hearing"])
-        domain = self.pick(_DOMAIN)
+        local = self.word(1, 2).lower() + self.pick(["", ".", "_", "-"]) + self.word(1, 3).lower() + self.pick(["", "", str(r.randrange(1000))]) + self.pick(["", "", "", "+" + self.word().lower()])
+        local = "".join(c if c.isascii() else "e" for c in local)
+        domain = "".join(c if c.isascii() else "a" for c in ".".join(self.word().lower() for _ in range(r.choice((1, 1, 2))))) + "." + self.pick(_TOP)
         k = r.random()
         if k < 0.1:
             return f"{local} [at] {domain}"
@@ -330,85 +406,98 @@ class _Fill:
         return text.upper() if k > 0.93 else text
 
     def T(self) -> str:
-        r = self.r
-        a, b = self.pick(["312", "773", "217", "872", "331", "415"]), f"01{r.randrange(100):02d}"
-        form = self.pick(["{a}-555-{b}", "({a}) 555-{b}", "{a}.555.{b}", "{a}555{b}", "+1 {a} 555 {b}", "1-{a}-555-{b}", "555-{b}", "+44 7700 900{c}", "020 7946 0{c}", "{a}-555-{b} ext. {e}"])
-        return form.format(a=a, b=b, c=f"{r.randrange(1000):03d}", e=r.randrange(10, 99))
+        a, b, c = str(self.r.randint(201, 989)), self.digits(4), self.digits(3)
+        form = self.pick(["{a}-{c}-{b}", "({a}) {c}-{b}", "{a}.{c}.{b}", "{a}{c}{b}", "+1 {a} {c} {b}", "1-{a}-{c}-{b}", "{c}-{b}", "+44 7{a} {b}00", "+44 7700 900{c}", "020 7946 {b}", "{a}-{c}-{b} ext. {e}", "+48 {a} {c} {a}", "{a} {c} {b} x{e}"])
+        return form.format(a=a, b=b, c=c, e=self.r.randrange(10, 9999))
 
     def I(self) -> str:  # noqa: E743
-        r = self.r
-        n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+        r, n = self.r, self.digits
         if self.language == "pl":
-            return n(11) if r.random() < 0.8 else self.pick("ABCX") + self.pick("ABCX") + self.pick("ABCX") + n(6)
+            return n(11) if r.random() < 0.8 else self.pick(LETTERS) + self.pick(LETTERS) + self.pick(LETTERS) + n(6)
         if self.language == "zh":
-            return "2026" + n(6) if r.random() < 0.7 else n(18)
+            return n(10) if r.random() < 0.7 else n(18)
         if self.language != "en":
-            return f"9{n(2)}-{n(2)}-{n(4)}" if r.random() < 0.55 else f"{self.pick('XYZ')}{n(7)}-{self.pick('ABCDEFGH')}"
-        return self.pick([f"9{n(2)}-{n(2)}-{n(4)}", f"9{n(2)}-{n(2)}-{n(4)}", f"9{n(2)} {n(2)} {n(4)}", f"9{n(8)}", f"{self.pick('ABDFKMT')}{n(3)}-{n(4)}-{n(4)}", f"{self.pick('QXZ')}{n(8)}", n(8), f"P-{n(8)}", f"QM{n(9)}"])
-
-    def street(self) -> str:
-        return self.pick(_PLACE_A) + self.pick(_PLACE_B)
+            return f"{n(3)}-{n(2)}-{n(4)}" if r.random() < 0.55 else f"{self.pick('XYZ')}{n(7)}-{self.pick(LETTERS)}"
+        return self.pick([f"{n(3)}-{n(2)}-{n(4)}", f"{n(3)}-{n(2)}-{n(4)}", f"{n(3)} {n(2)} {n(4)}", n(9), f"{self.pick(LETTERS)}{n(3)}-{n(4)}-{n(4)}", f"{self.pick(LETTERS)}{n(8)}", n(8), f"{self.pick(LETTERS)}-{n(8)}", f"{self.pick(LETTERS)}{self.pick(LETTERS)}{n(9)}"])
 
     def A(self) -> str:
         r = self.r
         if self.language == "es":
-            name = self.romance()
-            return self.pick([f"Av. {name} núm. {r.randrange(1, 9999)}, piso {r.randrange(1, 40)}", f"calle {name} {r.randrange(1, 300)}", f"Calle {name}, {r.randrange(1, 300)}, 3.º B", f"Calle {name} {r.randrange(1, 300)}"])
+            name = self.place()
+            return self.pick([f"Av. {name} núm. {r.randrange(1, 9999)}, piso {r.randrange(1, 40)}", f"calle {name} {r.randrange(1, 300)}", f"Calle {name}, {r.randrange(1, 300)}, 3.º B", f"Calle {name} {r.randrange(1, 300)}", f"Paseo {name} {r.randrange(1, 90)}"])
         if self.language == "pt":
-            name = self.romance()
+            name = self.place()
             return self.pick([f"Rua {name}, {r.randrange(1, 900)}", f"Travessa {name}, n.º {r.randrange(1, 99)}", f"Av. {name}, {r.randrange(1, 9999)}, apto {r.randrange(1, 50)}"])
         if self.language == "pl":
-            name = self.polish()
-            return self.pick([f"ul. {name} {r.randrange(1, 200)}/{r.randrange(1, 40)}", f"ul. {name} {r.randrange(1, 99)}, 00-{r.randrange(100, 999)} {self.polish()}", f"os. {name} {r.randrange(1, 40)} m. {r.randrange(1, 60)}", f"al. {name} {r.randrange(1, 99)}"])
+            name = self.place()
+            return self.pick([f"ul. {name} {r.randrange(1, 200)}/{r.randrange(1, 40)}", f"ul. {name} {r.randrange(1, 99)}, 00-{r.randrange(100, 999)} {self.place()}", f"os. {name} {r.randrange(1, 40)} m. {r.randrange(1, 60)}", f"al. {name} {r.randrange(1, 99)}"])
         if self.language == "zh":
-            name = self.pick(_ZH_A) + self.pick(_ZH_B) + self.pick(_ZH_C)
+            name = self.han(r.randint(2, 3))
             return self.pick([f"{name}巷{r.randrange(1, 99)}弄{r.randrange(1, 60)}号", f"{name}街{r.randrange(1, 900)}号{r.randrange(1, 40)}栋{r.randrange(1, 6)}单元{r.randrange(101, 4002)}室", f"{name}路{r.randrange(1, 300)}号"])
         if self.language == "hi":
-            name = f"{self.pick(_HI_C)} {self.pick(_HI_A)}{self.pick(_HI_A)}{self.pick(_HI_B)}-{self.pick(_HI_A)}{self.pick(_HI_A)}{self.pick(_HI_B)}"
+            name = self.place()
             return self.pick([f"मकान नंबर {r.randrange(1, 700)}, {name} मार्ग", f"{r.randrange(1, 99)}/{r.randrange(1, 20)} {name} रोड"])
         if self.language == "ar":
-            name = f"{self.pick(_AR_A)} و{self.pick(_AR_A)} {self.pick(_AR_B)} {r.randrange(100, 999)}"
+            name = self.place()
             return self.pick([f"شارع {name} رقم {r.randrange(1, 900)}", f"{r.randrange(1, 900)} شارع {name}، شقة {r.randrange(1, 40)}"])
         if r.random() < 0.1:
-            return f"P.O. Box {r.randrange(100, 9999)}, {self.street()}"
+            return f"P.O. Box {r.randrange(100, 9999)}, {self.word()}"
         unit = self.pick(["", "", "", f" #{r.randrange(1, 40)}", f", Apt {r.randrange(1, 40)}{self.pick('ABC')}", f" Apt. {r.randrange(1, 40)}", f", Unit {r.randrange(1, 40)}", f", Suite {r.randrange(1, 40)}0"])
-        town = self.pick(["", "", f", {self.street()}", f", {self.street()} 00{r.randrange(100, 999)}"])
+        town = self.pick(["", "", f", {self.word()}", f", {self.word()} {self.digits(5)}"])
         way = self.pick(["", "", "", "N. ", "W ", "E ", "South ", "North "])
         if r.random() < 0.12:
-            return f"{self.pick(['Flat', 'Apt'])} {r.randrange(1, 40)}, {r.randrange(1, 200)} {self.street()} {self.pick(_STREET)}"
-        return f"{r.randrange(1, 9999)} {way}{self.street()} {self.pick(_STREET)}{unit}{town}"
-
-    def romance(self) -> str:
-        return f"{self.pick(_ROM_A)}{self.pick(_ROM_B)} de {self.pick(_ROM_A)}{self.pick(_ROM_B)}"
-
-    def polish(self) -> str:
-        return f"{self.pick(_POL_A)}{self.pick(_POL_B)}-{self.pick(_POL_A)}{self.pick(_POL_B)}"
+            return f"{self.pick(['Flat', 'Apt'])} {r.randrange(1, 40)}, {r.randrange(1, 200)} {self.word()} {self.pick(_STREET)}"
+        return f"{r.randrange(1, 9999)} {way}{self.word()} {self.pick(_STREET)}{unit}{town}"
 
     def place(self) -> str:
+        r = self.r
         if self.language in ("es", "pt"):
-            return self.romance()
+            return self.word() + (" de " + self.word() if r.random() < 0.6 else "")
         if self.language == "pl":
-            return self.polish()
+            return self.word() + ("-" + self.word() if r.random() < 0.6 else "")
         if self.language == "zh":
-            return self.pick(_ZH_A) + self.pick(_ZH_B) + self.pick(_ZH_C)
+            return self.han(r.randint(2, 3))
         if self.language == "hi":
-            return f"{self.pick(_HI_C)} {self.pick(_HI_A)}{self.pick(_HI_A)}{self.pick(_HI_B)}-{self.pick(_HI_A)}{self.pick(_HI_A)}{self.pick(_HI_B)}"
+            return (f"{self.hindi(r.randint(2, 4))} " if r.random() < 0.5 else "") + self.hindi(r.randint(3, 6)) + ("-" + self.hindi(r.randint(3, 6)) if r.random() < 0.5 else "")
         if self.language == "ar":
-            return f"{self.pick(_AR_A)} و{self.pick(_AR_A)} {self.pick(_AR_B)} {self.r.randrange(100, 999)}"
-        return self.street()
+            return f"{self.arabic(r.randint(4, 8))} {self.pick(['و', ''])}{self.arabic(r.randint(4, 8))}" + (f" {self.arabic(r.randint(5, 7))} {r.randrange(100, 999)}" if r.random() < 0.6 else "")
+        return self.word() + (" " + self.word() if r.random() < 0.08 else "")
+
+    def eponym(self) -> str:
+        """A hall, programme or body that is named like a person, or by ordinary words."""
+        k = self.r.random()
+        if k < 0.55:
+            name = self.pick(AMBIGUOUS) if self.r.random() < 0.4 else self.word()
+            return f"{name} {self.word()} {self.pick(_HALL)}" if self.r.random() < 0.4 else f"{name} {self.pick(_HALL)}"
+        name = self.pick(AMBIGUOUS) if self.r.random() < 0.3 else self.pick(_TITLE)
+        return f"{name} {self.pick(_TITLE)} {self.pick(_DRIVE)}" if k < 0.8 else f"{name} {self.pick(['of the', 'for'])} {self.pick(_TITLE)} {self.pick(_DRIVE)}" if k < 0.86 else f"{name} {self.pick(_DRIVE)}"
 
     def field(self, name: str) -> str:
         r = self.r
-        if name in ("P", "E", "T", "I", "A", "place"):
+        if name in ("P", "E", "T", "I", "A", "place", "eponym"):
             return getattr(self, name)()
         digits = {"d1": 1, "d3": 3, "d4": 4}
         if name in digits:
             return "".join([r.choice("123456789"), *(r.choice("0123456789") for _ in range(digits[name] - 1))])
-        plain = {"n": lambda: str(r.randrange(1, 400)), "h": lambda: str(r.randrange(6, 20)), "m": lambda: f"{r.randrange(0, 60, 5):02d}", "time": lambda: f"{r.randrange(6, 12)}:{r.randrange(0, 60, 5):02d} {self.pick(['a.m.', 'p.m.', 'AM', 'am'])}", "date": lambda: f"{self.pick(_MONTHS)} {r.randrange(1, 29)}", "money": lambda: self.pick([f"${r.randrange(1, 99)},{r.randrange(100, 999)}.{r.randrange(10, 99)}", f"${r.randrange(100, 999)}.{r.randrange(10, 99)}", f"${r.randrange(1, 9)}.{r.randrange(0, 9)} million"]), "code": lambda: f"{self.pick(['form', 'item', 'memo', 'plan', 'route', 'line'])} {self.pick('ABCDEHKMRT')}-{r.randrange(100, 9999)}", "do": lambda: self.pick(_DO), "body": lambda: self.pick(_BODY), "school": lambda: self.pick(_SCHOOL), "eponym": lambda: self.pick(_EPONYM), "idword": lambda: self.pick(_IDWORD), "thing": lambda: self.pick(_THING[self.language]), "when": lambda: self.pick(_WHEN[self.language])}
+        plain = {"n": lambda: str(r.randrange(1, 400)), "h": lambda: str(r.randrange(6, 20)), "m": lambda: f"{r.randrange(0, 60, 5):02d}", "time": lambda: f"{r.randrange(6, 12)}:{r.randrange(0, 60, 5):02d} {self.pick(['a.m.', 'p.m.', 'AM', 'am'])}", "date": lambda: f"{self.pick(_MONTHS)} {r.randrange(1, 29)}", "money": lambda: self.pick([f"${r.randrange(1, 99)},{r.randrange(100, 999)}.{r.randrange(10, 99)}", f"${r.randrange(100, 999)}.{r.randrange(10, 99)}", f"${r.randrange(1, 9)}.{r.randrange(0, 9)} million"]), "code": lambda: f"{self.pick(['form', 'item', 'memo', 'plan', 'route', 'line'])} {self.pick(LETTERS)}-{r.randrange(100, 9999)}", "do": lambda: self.pick(_DO), "body": lambda: self.pick(_BODY), "school": lambda: self.pick(_SCHOOL), "idword": lambda: self.pick(_IDWORD), "thing": lambda: self.pick(_THING[self.language]), "when": lambda: self.pick(_WHEN[self.language]), "noun": lambda: self.word() + self.pick(["s", "ers", "ing", ""])}
         return plain[name]()
 
 
 TYPES = {"P": "PERSON", "E": "EMAIL_ADDRESS", "T": "PHONE_NUMBER", "I": "ID_NUMBER", "A": "STREET_ADDRESS"}
+#: Fields that are made up letter by letter: their words are no vocabulary.
+INVENTED = frozenset({*TYPES, "place", "eponym", "noun"})
+
+
+def vocabulary() -> set[str]:
+    """The lower-cased words that the tagger may know by themselves: those of the patterns and of the short lists."""
+    texts = [line for lines in PATTERNS.values() for line in lines.split("\n")]
+    texts += [*_THING.values(), *_WHEN.values(), *_DO, *_BODY, *_SCHOOL, *_HALL, *_TITLE, *_DRIVE, *_IDWORD, *_STREET, *_MONTHS, *_TOP, *AMBIGUOUS]
+    texts += ["at dot arroba punto ponto form item memo plan route line million am pm a m p ext x apt unit suite flat box po av calle paseo núm piso rua travessa n º apto ul os al de da van von", "号巷弄街栋单元室路", "मकान नंबर मार्ग रोड", "شارع رقم شقة"]
+    plain = (re.sub(r"\{\w+\}", " ", t) for t in texts)
+    return {w for t in plain for w in _WORDS.findall(t.lower())}
+
+
+_WORDS = re.compile(r"[^\W\d_㐀-鿿]+(?:[̀-ًͯ-ْऀ-ःऺ-ॏ॑-ॗॢॣ]+[^\W\d_㐀-鿿]*)*|[㐀-鿿]")
 
 
 def labelled_table(rows: int = 3600, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:

@@ -52,6 +52,67 @@ def test_very_long_text(decoder):
     assert items(decoder, text) == [("Omar Velwright", "PERSON")]
 
 
+GIVEN = "Ngozi Takashi Bronwyn Siobhan Xiomara Anthony Dmitri Kwame Aoife Thandiwe Rajesh Elizabeth Jean Mohammed Linh Svetlana Hiro Chukwuemeka Ana Bob".split()
+FAMILY = "Okonjo Nakamura Llewellyn Featherstonehaugh Nguyen Petrov Mensah Kowalczyk Smith Garcia O'Brien Abdullah Srinivasan Johansson Washington Xu Li Fitzgerald-Kane".split()
+
+
+def test_names_never_seen(folder):
+    """Names whose parts are in no training row, put where the hand-labelled names stand: nine of ten are found, and nine of ten found are names."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    large = folder.replace("sf0.001", "sf0.1").replace("sf0.01/", "sf0.1/")
+    rows = [r for r in pq.read_table(f"{large}/person_redaction_cases.parquet").to_pylist() if r["names"] is not None and r["text"]]
+    rng = random.Random(3)
+    rng.shuffle(rows)
+    half = len(rows) // 2
+    trained = pii.Decoder(pii.fit([(r["text"], r["names"]) for r in rows[:half]]))
+    texts, wanted = [], []
+    for r in rows[half:]:
+        text, at, names = "", 0, []
+        for name in r["names"]:
+            place = r["text"].find(name, at)
+            parts = [p if len(p) == 2 and p[1] == "." else rng.choice(GIVEN) for p in name.split(" ")[:-1]]
+            new = " ".join([*parts, rng.choice(FAMILY)])
+            new = new.lower() if name.islower() else new.upper() if name.isupper() else new
+            text += r["text"][at:place] + new
+            at = place + len(name)
+            names.append(new)
+        texts.append(text + r["text"][at:]), wanted.append(names)
+    hit = found = total = 0
+    for text, names, items_ in zip(texts, wanted, pii.find_items(texts, trained), strict=True):
+        got = [text[a:b] for a, b, kind in items_ if kind == "PERSON"]
+        total, found = total + len(names), found + len(got)
+        hit += sum(min(names.count(n), got.count(n)) for n in set(names))
+    assert total >= 50 and hit >= 0.9 * total and hit >= 0.9 * found
+
+
+def test_seed_holds_no_name_twice():
+    """Names, places and streets are invented anew for each row: hardly a word of them comes in two rows, and none is known."""
+    from collections import Counter
+
+    from plenum.llm import pii_seed
+
+    seen = Counter(w.lower() for text, spans in pii_seed.labelled_table(1500) for w in {w for a, b, kind in spans if kind == "PERSON" for w in text[a:b].split() if len(w) > 4})
+    known = {w.lower() for w in pii_seed.AMBIGUOUS}
+    often = [w for w, n in seen.items() if n > 2 and w not in known]
+    assert len(often) <= 0.01 * len(seen)
+
+
+def test_ordinary_words(spark):
+    df = spark.createDataFrame([("the gate and The Gate of Omar",)] * 3 + [("the gate is open",)] * 3 + [("OPEN THE GATE",), (None,), ("",)], "text string")
+    assert pii.ordinary_words(df) == {"the", "gate"}
+    assert pii.ordinary_words(df.limit(0)) == frozenset()
+
+
+def test_field_is_kept(tmp_path):
+    field = pii.Field.empty()
+    field.step[1, 2] = 0.5
+    back = pii.Field.from_bytes(field.to_bytes())
+    assert back.known == field.known and (back.step == field.step).all() and back.word.shape == field.word.shape
+
+
 def test_decoding_is_the_best_path(decoder):
     import itertools
 
