@@ -16,6 +16,7 @@ import hashlib
 import io
 import re
 import unicodedata
+import uuid
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -126,25 +127,34 @@ _DOTS = re.compile(r"(?:\.\.|…)\s*$")
 LOWER, UPPER = "\x01", "\x02"
 
 
+# A stretch in small letters begins with one; one of capitals has many together.
+_MAYBE_LOWER = re.compile(r"(?:^|[.!?\n])[^\w.!?\n]*[^\WA-Z0-9]")
+_MAYBE_UPPER = re.compile(r"[A-Z]{3}[^a-z]{3}")
+
+
 def word_strings(text: str) -> list[str]:
     """The tokens of a text, with a mark on those of stretches that are written in small letters or in capitals only."""
     pattern = _tokens_of(text)
     whole = pattern.findall(text)
-    edges, kinds = [], []
-    for m in _SEGMENT.finditer(text):
-        piece = m[0]
+    if not _MAYBE_LOWER.search(text) and not _MAYBE_UPPER.search(text):
+        return whole
+    pieces, kinds, at = [], [], 0
+    for piece in _SEGMENT.findall(text):
         kind = LOWER if piece.islower() else UPPER if len(piece) > 9 and piece.isupper() else ""
-        if kind == LOWER and kinds and not kinds[-1] and _DOTS.search(text, max(0, m.start() - 8), m.start()):
-            kind = ""  # a thought that goes on
-        if kind and kinds and not kinds[-1] and _SHORT.search(text, max(0, m.start() - 12), m.start()):
-            kind = ""  # what follows an abbreviation goes on as before
-        edges.append((m.start(), m.end())), kinds.append(kind)
+        if kind and kinds and not kinds[-1]:
+            # What follows an abbreviation goes on as before, and so does a thought in small letters after dots.
+            if _SHORT.search(text, max(0, at - 12), at) or kind == LOWER and _DOTS.search(text, max(0, at - 8), at):
+                kind = ""
+        pieces.append(piece), kinds.append(kind)
+        at += len(piece)
     if not any(kinds):
         return whole
     out: list[str] = []
-    for (a, b), kind in zip(edges, kinds, strict=True):
-        part = pattern.findall(text, a, b)
+    at = 0
+    for piece, kind in zip(pieces, kinds, strict=True):
+        part = pattern.findall(text, at, at + len(piece))
         out += [w + kind if w[0].isalpha() else w for w in part] if kind else part
+        at += len(piece)
     return out if len(out) == len(whole) else whole
 
 
@@ -657,6 +667,17 @@ def labelled_rows(cases: DataFrame, *, text_column: str = "text", names_column:
     return [(r["text"], [n for n in r["names"] if n]) for r in picked.orderBy(F.xxhash64("k"), "k").limit(rows).collect()]
 
 
+_decoders: dict[str, Decoder] = {}
+
+
+def _decoder(token: str, shared: object) -> Decoder:
+    """The decoder of a broadcast field; a worker that runs several tasks keeps what it has worked out about words."""
+    if token not in _decoders:
+        _decoders.clear()
+        _decoders[token] = Decoder(*shared.value)
+    return _decoders[token]
+
+
 def ordinary_words(*texts: DataFrame) -> frozenset[str]:
     """Words that the texts (one column each) write in small letters at least LEAST_SEEN times and more often than capitalised.
 
@@ -667,9 +688,10 @@ def ordinary_words(*texts: DataFrame) -> frozenset[str]:
     for part in texts:
         one = part.select(F.explode(F.regexp_extract_all(part[0].cast("string"), F.lit(r"\p{L}[\p{L}\p{M}]+"), F.lit(0))).alias("w"))
         both = one if both is None else both.unionByName(one)
+    both = both.groupBy("w").agg(F.count(F.lit(1)).alias("n"))  # small letters and capitals are told apart once for each word
     low = F.lower("w")
     # In a script without capitals every word would seem ordinary: only words that could be capitalised count.
-    small, capital = ((F.col("w") == low) & (F.col("w") != F.upper("w"))).cast("long"), ((F.substring("w", 1, 1) != F.substring(low, 1, 1)) & (F.col("w") != F.upper("w"))).cast("long")
+    small, capital = ((F.col("w") == low) & (F.col("w") != F.upper("w"))).cast("long") * F.col("n"), ((F.substring("w", 1, 1) != F.substring(low, 1, 1)) & (F.col("w") != F.upper("w"))).cast("long") * F.col("n")
     counted = both.groupBy(low.alias("word")).agg(F.sum(small).alias("small"), F.sum(capital).alias("capital"))
     kept = counted.where((F.col("small") >= LEAST_SEEN) & (F.col("small") > F.col("capital"))).orderBy(F.desc("small"), "word").limit(MOST_ORDINARY)
     return frozenset(kept.select("word").toPandas()["word"])
@@ -683,10 +705,10 @@ def tag(table: DataFrame, field: Field, *, id_column: str, text_column: str, ord
     """
     source = narrow(table, row_key=id_column, text=text_column).select(F.col("row_key").cast("long").alias("row_key"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     # A model is a few megabytes: a broadcast variable sends it once to each executor.
-    shared = table.sparkSession.sparkContext.broadcast((field, ordinary))
+    shared, token = table.sparkSession.sparkContext.broadcast((field, ordinary)), uuid.uuid4().hex
 
     def make():
-        decoder = Decoder(*shared.value)
+        decoder = _decoder(token, shared)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, starts, ends, kinds = [], [], [], []
@@ -704,13 +726,13 @@ def tag(table: DataFrame, field: Field, *, id_column: str, text_column: str, ord
 
 def redact(table: DataFrame, field: Field, *, text_column: str, output_column: str = "redacted_text", ordinary: frozenset[str] = frozenset()) -> DataFrame:
     """The table with one more column: the text with each item replaced by its type in brackets, all else unchanged; null stays null."""
-    shared = table.sparkSession.sparkContext.broadcast((field, ordinary))
+    shared, token = table.sparkSession.sparkContext.broadcast((field, ordinary)), uuid.uuid4().hex
 
     @F.pandas_udf(T.StringType())
     def run(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        decoder = Decoder(*shared.value)
+        decoder = _decoder(token, shared)
         known = [t for t in texts if t is not None]
         parts = (known[begin : begin + 1024] for begin in range(0, len(known), 1024))
         done = iter([_replace(t, i) for part in parts for t, i in zip(part, find_items(part, decoder), strict=True)])
