@@ -60,7 +60,8 @@ _UNIT = r"(?:,?\s(?:#\s?\d+[a-z]?|(?:apt|apartment|unit|suite|ste|flat|room)\b\.
 # An English address is looked for at each number, the others where their own words occur.
 _FLAT = re.compile(r"\b(?:flat|apt|apartment|unit|suite)\b\.?\s\d+[a-z]?,\s$", re.I)
 _ENGLISH = re.compile(rf"\d{{1,5}}[a-z]?\s(?:(?:[nsew]\b\.?|north|south|east|west)\s)?(?:{_NAME}\s){{1,2}}?{_WAY}\b\.?{_UNIT}{_TOWN}", re.I)
-_NUMBER = re.compile(r"(?<![\w.,$/:-])\d{1,5}(?=[a-z]?\s)", re.I)
+_NUMBER = re.compile(r"\d+(?=[A-Za-z]?\s)")
+_NOT_BEFORE = re.compile(r"[\w.,$/:-]")
 _BOX = re.compile(rf"\bp\.?\s?o\.?\sbox\s\d+{_TOWN}", re.I)
 _ROMANCE = re.compile(r"\b(?:calle|av\.|avda\.|avenida|paseo|plaza|camino|rua|travessa|alameda)\s[^\W\d_]+(?:\s(?:de|del|da|do|dos|la|las|los)\s[^\W\d_]+)*(?:,?\s(?:núm\.|n\.º|no?\.)?\s?\d+[a-z]?)(?:,\s(?:piso\s\d+|apto\.?\s\d+|\d+\.[ºª]\s[a-z]\b))*", re.I)
 _POLISH = re.compile(r"\b(?:ul|os|al|pl)\.\s[^\W\d_]+(?:-[^\W\d_]+)?(?:\s[^\W\d_]+)?\s\d+[a-z]?(?:/\d+|\sm\.\s\d+)?(?:,\s\d{2}-\d{3}\s[^\W\d_]+(?:-[^\W\d_]+)?)?", re.I)
@@ -76,7 +77,7 @@ def addresses(text: str) -> list[tuple[int, int]]:
     out = []
     for number in _NUMBER.finditer(text):
         a = number.start()
-        if out and a < out[-1][1]:
+        if number.end() - a > 5 or out and a < out[-1][1] or a and _NOT_BEFORE.match(text, a - 1):
             continue
         m = _ENGLISH.match(text, a)
         if m:
@@ -101,6 +102,7 @@ def addresses(text: str) -> list[tuple[int, int]]:
     return sorted(out) if others else out
 
 
+_AT = ("@", "(at", "( at", "[at", "[ at", "arroba", " dot ", " punto ", " ponto ")
 _NOT_DIGIT = re.compile(r"\D+")
 _DIGITS = re.compile(r"\d")
 
@@ -161,7 +163,8 @@ def word_strings(text: str) -> list[str]:
 def forms(text: str) -> list[list[tuple[int, int]]]:
     """For each form (e-mail, telephone, code, address) the stretches of the text that have it."""
     out: list[list[tuple[int, int]]] = [[], [], [], []]
-    if "@" in text or "(" in text or "[" in text or " dot " in text or " punto " in text or " ponto " in text or " DOT " in text:
+    low = text.lower()
+    if any(sign in low for sign in _AT):
         out[0] = [m.span() for m in EMAIL.finditer(text)]
     if _FIVE.search(text):
         for k, form in ((1, PHONE), (2, CODE)):
