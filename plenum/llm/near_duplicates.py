@@ -7,7 +7,15 @@ pair agree exactly, so it is found under one segment that is not frequent, or el
 2m > H, one segment of a similar pair differs in at most one word, and it is found under the segment or one of its
 one-deletion neighbours.  Which segments are frequent and which allocation is cheaper is counted over all documents.
 
-Candidates are pruned by a bit signature (which never drops a similar pair) and verified exactly on the word sets.
+No key is ever compared beyond HOT sets: whoever joins the entries of a key sees its true count, and the sets of a
+larger one go on to a further round.  There the same key is extended by each of H + 1 segments of another, independent
+partition, of which a similar pair still shares one.  What is still larger after ROUNDS such extensions is split into
+blocks, and the pairs of blocks are spread over the tasks.  So each index entry costs at most HOT comparisons however
+large the collection is, but for sets that agree nearly everywhere, whose pairs are the result itself.
+
+Candidates are pruned by a bit signature (which never drops a similar pair) and verified on the word sets.  Words are
+64-bit hashes there, and rows with equal sets of them count as copies; two different words of a collection of a billion
+distinct ones share a hash with probability 3 in 100.
 """
 
 from __future__ import annotations
@@ -26,8 +34,10 @@ from .batches import CorpusError, cut, narrow
 
 SIMILARITY, LEAST_WORDS = 0.8, 8
 #: Further segments that must agree beyond one; and how often a segment occurs before it is only used in pairs.
-SPARE, FREQUENT = 1, 256
-#: A key must occur this often in one batch to be counted; keys called frequent at most.  Both steer cost, not results.
+SPARE, FREQUENT = 1, 128
+#: Sets that are compared under one key at most; how often a larger key is extended before it is split into blocks; sets in a block.
+HOT, ROUNDS, BLOCK = 2048, 3, 1024
+#: A key must occur this often in one batch to be counted; keys called frequent at most.  Both steer cost, not results: HOT holds for the others.
 LOCAL_COUNT, MAX_FREQUENT = 3, 500_000
 #: Bands up to this size may use one-deletion neighbourhoods.
 DELETION_SIZE = 33
@@ -110,6 +120,14 @@ class Sets:
         with np.errstate(over="ignore"):
             self.identity = _mix(np.add.reduceat(_mix(self.flat), self.first) + self.size.astype(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
 
+    @classmethod
+    def of_words(cls, identity: np.ndarray, flat: np.ndarray, size: np.ndarray) -> Sets:
+        """Sets whose words are known as hashes."""
+        out = object.__new__(cls)
+        out.rows, out.identity, out.flat, out.size = np.arange(len(size)), identity, flat, size
+        out.first = np.cumsum(size) - size
+        return out
+
     def distinct(self) -> Sets:
         """One of each identity."""
         _, keep = np.unique(self.identity, return_index=True)
@@ -234,28 +252,122 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def extended_entries(sets: Sets, keys: np.ndarray, plan: Plan, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of sets that share a key with too many others (one key for each set): the key with each segment of the partition of this round.
+
+    The partition has one segment more than a similar pair differs in, so the pair shares one of the extended keys.
+    """
+    own = plan.band(sets.size)
+    found_keys, owners = [], []
+    for band in np.unique(np.r_[own, own - 1]) if len(own) else ():
+        if band < 0:
+            continue
+        chosen = np.flatnonzero((own == band) | (own == band + 1))
+        m = plan.errors(int(band)) + 1
+        size = sets.size[chosen]
+        at = np.repeat(sets.first[chosen] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        words = _mix(sets.flat[at])
+        owner = np.repeat(np.arange(len(chosen)), size)
+        with np.errstate(over="ignore"):
+            salt = _mix(np.array([int(band) * 64 + number + 1_000_003], np.uint64))[0]
+            total = np.zeros(len(chosen) * m, np.uint64)
+            np.add.at(total, owner * m + (_mix(words ^ salt) % np.uint64(m)).astype(np.int64), words)
+            full = _mix(total + np.tile(_mix(np.arange(m, dtype=np.uint64) + salt), len(chosen)))
+            found_keys.append(_mix(full * np.uint64(5) + np.repeat(keys[chosen], m)))
+        owners.append(np.repeat(chosen, m))
+    return _entries(sets, found_keys, owners)
+
+
+def block_entries(sets: Sets, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of sets that share a key with too many others: one for each pair of blocks that the set's own block is in."""
+    blocks = (counts + BLOCK - 1) // BLOCK
+    owner = np.repeat(np.arange(len(keys)), blocks)
+    other = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = (_mix(sets.identity + np.uint64(7)) % blocks.astype(np.uint64)).astype(np.int64)[owner]
+    pair = np.minimum(own, other).astype(np.uint64) << np.uint64(32) | np.maximum(own, other).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return _entries(sets, [_mix(_mix(pair) + keys[owner])], [owner])
+
+
+def _entries(sets: Sets, keys: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, ENTRY)
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    main, rest = signature(sets)
+    out = np.empty(len(key), ENTRY)
+    out["key"], out["set"], out["more"] = (key >> np.uint64(32)).astype(np.uint32), sets.identity[owner], rest[owner]
+    out["meta"] = main[owner]
+    return key, out
+
+
+class Bucket:
+    """Collects the entries of one bucket; sets under a key of more than `hot` sets are handed on and not kept."""
+
+    #: Entries that are held before keys that are hot already are let go.
+    HELD = 4_000_000
+
+    def __init__(self, number: int, plan: Plan, hot: int) -> None:
+        self.number, self.plan, self.hot = number, plan, hot
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+        self.hot_keys = np.zeros(0, np.uint32)
+
+    def add(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        self.parts.append(entries)
+        self.size += len(entries)
+        if self.size < self.HELD:
+            return None
+        kept, out = self._settle()
+        # If little could be let go, wait for as much again.
+        self.parts, self.size = [kept], 0 if len(kept) < self.HELD // 2 else -len(kept)
+        return out
+
+    def _settle(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+        """Entries sorted by key without copies, and (sets, keys) of the hot ones, which are left out."""
+        entries = np.concatenate(self.parts) if len(self.parts) > 1 else self.parts[0]
+        # Sorted by key and part of the identity in one number; then copies of a set are one entry.
+        order = np.argsort(entries["key"].astype(np.uint64) << np.uint64(32) | (entries["set"] & np.uint64(0xFFFFFFFF)))
+        entries = entries[order]
+        key, own, meta = entries["key"], entries["set"], entries["meta"]
+        new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (meta[1:] != meta[:-1])]
+        entries = entries[new]
+        key = entries["key"]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[start, len(key)])
+        hot = (count > self.hot) | _member(key[start], self.hot_keys)
+        if not hot.any():
+            return entries, None
+        self.hot_keys = np.union1d(self.hot_keys, key[start][hot])
+        gone = np.repeat(hot, count)
+        out = entries[gone]
+        # The whole key: that of the bucket and the part kept in the entry.
+        whole = _mix(out["key"].astype(np.uint64) << np.uint64(32) | np.uint64(self.number))
+        return entries[~gone], (out["set"], whole)
+
+    def close(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+        """Candidate pairs of what is left, and the last hot sets."""
+        entries, out = self._settle()
+        return join_entries(entries, self.plan), out
+
+
 def join_entries(entries: np.ndarray, plan: Plan) -> np.ndarray:
-    """Candidate pairs (two columns of identities, the smaller first) among entries of equal key."""
-    # Sorted by key and part of the identity in one number; then copies of a set are one entry.
-    order = np.argsort(entries["key"].astype(np.uint64) << np.uint64(32) | (entries["set"] & np.uint64(0xFFFFFFFF)))
-    entries = entries[order]
-    key, own, meta = entries["key"], entries["set"], entries["meta"]
-    new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (meta[1:] != meta[:-1])]
-    entries = entries[new]
+    """Candidate pairs (two columns of identities, the smaller first) among entries of equal key, sorted by key."""
     key = entries["key"]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(key)])
     out = []
-    for begin, c in ((b, n) for b, n in zip(start, count, strict=True) if n > 2048):
-        for i in range(begin, begin + c):
-            out += _prune(entries, np.full(begin + c - i - 1, i), np.arange(i + 1, begin + c), plan)
-    for c in np.unique(count[(count > 1) & (count <= 2048)]):
+    for c in np.unique(count[count > 1]):
         begins = start[count == c]
-        a, b = np.triu_indices(int(c), 1)
-        step = max(1, PAIR_CHUNK // len(a))
-        for k in range(0, len(begins), step):
-            some = begins[k : k + step, None]
-            out += _prune(entries, (some + a).ravel(), (some + b).ravel(), plan)
+        # All pairs of c places, a run of first places at a time.
+        rows = max(1, PAIR_CHUNK // int(c))
+        for low in range(0, int(c) - 1, rows):
+            first = np.arange(low, min(low + rows, int(c) - 1))
+            a = np.repeat(first, c - 1 - first)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(c - 1 - first) - (c - 1 - first), c - 1 - first) + a + 1
+            step = max(1, PAIR_CHUNK // len(a))
+            for k in range(0, len(begins), step):
+                some = begins[k : k + step, None]
+                out += _prune(entries, (some + a).ravel(), (some + b).ravel(), plan)
     if not out:
         return np.zeros((0, 2), np.uint64)
     pairs = np.concatenate(out)
@@ -339,9 +451,10 @@ def statistics(texts: DataFrame, similarity: float, least: int) -> tuple[Plan, n
     return plan, frequent
 
 
-def candidates_and_members(texts: DataFrame, plan: Plan, frequent: np.ndarray, least: int, rows: int) -> DataFrame:
+def candidates_and_members(texts: DataFrame, plan: Plan, frequent: np.ndarray, least: int, rows: int, hot: int = HOT) -> DataFrame:
     """(kind, a, b) from one pass over the texts: kind 0 are pairs of identities that share a key and may be similar
-    (a pair can come from several keys), kind 1 are row ids with the identity of their word set.
+    (a pair can come from several keys), kind 1 are row ids with the identity of their word set, kind 2 are identities
+    with a key that too many sets share.
 
     Entries travel packed, by bucket of their key; a task joins one bucket at a time.
     """
@@ -358,26 +471,37 @@ def candidates_and_members(texts: DataFrame, plan: Plan, frequent: np.ndarray, l
                 continue
             ids = np.asarray(batch.column(0).take(pa.array(sets.rows, pa.int64())).to_numpy())
             member = np.stack([ids, sets.identity.view(np.int64)], axis=1)
-            keys, entries = index_entries(sets.distinct(), plan, shared.value)
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, entries = bucket[order], entries[order]
-            cuts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True])
             # Members ride along under a negative bucket.
-            numbers = [-1 - int(member[0, 1] % partitions), *bucket[cuts[:-1]].tolist()]
-            packed = [member.tobytes(), *(entries[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False))]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "entries"])
+            yield _packed(*index_entries(sets.distinct(), plan, shared.value), buckets, [-1 - int(member[0, 1] % partitions)], [member.tobytes()])
+
+    return _joined(texts.mapInArrow(emit, "bucket int, entries binary"), plan, buckets, partitions, hot)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        now = None
 
-        def rows_of(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), _signed(np.ascontiguousarray(a)), _signed(np.ascontiguousarray(b))], names=["kind", "a", "b"])
+def _packed(keys: np.ndarray, entries: np.ndarray, buckets: int, numbers: list[int], packed: list[bytes]) -> pa.RecordBatch:
+    """Entries by bucket, one row each, behind the rows given."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, entries = bucket[order], entries[order]
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True]) if len(bucket) else np.zeros(1, np.int64)
+    numbers = [*numbers, *bucket[cuts[:-1]].tolist()]
+    packed = [*packed, *(entries[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False))]
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "entries"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                pairs = join_entries(np.frombuffer(b"".join(held), ENTRY), plan)
+
+def _joined(packed: DataFrame, plan: Plan, buckets: int, partitions: int, hot: int) -> DataFrame:
+    """(kind, a, b) of packed entries: see candidates_and_members."""
+
+    def rows_of(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), _signed(np.ascontiguousarray(a)), _signed(np.ascontiguousarray(b))], names=["kind", "a", "b"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Bucket | None = None
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                pairs, out = now.close()
+                if out is not None:
+                    yield rows_of(2, *out)
                 if len(pairs):
                     yield rows_of(0, pairs[:, 0], pairs[:, 1])
 
@@ -387,19 +511,41 @@ def candidates_and_members(texts: DataFrame, plan: Plan, frequent: np.ndarray, l
                     member = np.frombuffer(entries, np.int64).reshape(-1, 2)
                     yield rows_of(1, member[:, 0], member[:, 1])
                     continue
-                if bucket != now:
-                    yield from done()
-                    held.clear()
-                    now = bucket
-                held.append(entries)
-        yield from done()
-
-    packed = texts.mapInArrow(emit, "bucket int, entries binary")
+                if now is None or bucket != now.number:
+                    yield from closed()
+                    now = Bucket(bucket, plan, hot)
+                out = now.add(np.frombuffer(entries, ENTRY))
+                if out is not None:
+                    yield rows_of(2, *out)
+        yield from closed()
+
     # Bucket b goes to partition b modulo their number, so that no task gets several while another has none.
-    spread = packed.repartitionById(min(buckets, 4 * partitions), F.pmod("bucket", F.lit(min(buckets, 4 * partitions))).cast("int")).sortWithinPartitions("bucket")
+    tasks = min(buckets, 4 * partitions)
+    spread = packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
     return spread.mapInArrow(join, "kind int, a long, b long")
 
 
+def further_candidates(shared: DataFrame, words: DataFrame, plan: Plan, number: int, hot: int, *, blocks: bool) -> DataFrame:
+    """(kind, a, b) as in candidates_and_members, of sets under keys that too many share (id, key), with words(id, words)."""
+    partitions = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = shared.count() * (HOT // BLOCK * 8 if blocks else 24)
+    buckets = max(partitions, entries // BUCKET_ENTRIES + 1)
+    rows = shared.join(words, "id")
+    rows = rows.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").select("id", "key", "words", "n") if blocks else rows.select("id", "key", "words", F.lit(0).cast("long").alias("n"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            identity, key = (np.asarray(batch.column(k).to_numpy()).view(np.uint64) for k in (0, 1))
+            lists = batch.column(2)
+            sets = Sets.of_words(identity, np.asarray(lists.flatten().to_numpy()).view(np.uint64), np.diff(np.asarray(lists.offsets)).astype(np.int64))
+            entries = block_entries(sets, key, np.asarray(batch.column(3).to_numpy())) if blocks else extended_entries(sets, key, plan, number)
+            yield _packed(*entries, buckets, [], [])
+
+    return _joined(rows.mapInArrow(emit, "bucket int, entries binary"), plan, buckets, partitions, (1 << 62) if blocks else hot)
+
+
 def _own_hash(x: np.ndarray) -> np.ndarray:
     return (_mix(x) % np.uint64(FILTER_BITS)).astype(np.int64)
 
@@ -437,35 +583,45 @@ def word_sets(texts: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets_of, "id long, words array<long>").dropDuplicates(["id"])
 
 
-def similar_sets(texts: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+def similar_sets(texts: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): verified pairs (a, b, similarity) of different word sets, and (row_id, id) of every row that counts."""
     if not 0.5 <= similarity < 1:
         raise CorpusError("similarity must be at least 0.5 and less than 1")
     rows = texts.count()
     plan, frequent = statistics(texts, similarity, least)
-    found_ = cut(candidates_and_members(texts, plan, frequent, least, rows))
-    candidates = found_.where("kind = 0").select("a", "b").distinct()
+    found_ = cut(candidates_and_members(texts, plan, frequent, least, rows, hot))
+    candidates = found_.where("kind = 0").select("a", "b")
     members = found_.where("kind = 1").select(F.col("a").alias("row_id"), F.col("b").alias("id"))
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # One row for each identity that has a candidate brings its words.
-    wanted = members.join(ids, "id", "left_semi").groupBy("id").agg(F.min("row_id").alias("row_id")).select("row_id")
-    sets = word_sets(texts, least, wanted)
+
+    def words_of(ids: DataFrame) -> DataFrame:
+        # One row for each identity brings its words.
+        return word_sets(texts, least, members.join(ids, "id", "left_semi").groupBy("id").agg(F.min("row_id").alias("row_id")).select("row_id"))
+
+    for number in range(1, ROUNDS + 2):
+        left = found_.where("kind = 2")
+        if left.isEmpty():
+            break
+        shared = cut(left.select(F.col("a").alias("id"), F.col("b").alias("key")).distinct())
+        found_ = cut(further_candidates(shared, words_of(shared.select("id").distinct()), plan, number, hot, blocks=number > ROUNDS))
+        candidates = candidates.unionByName(found_.where("kind = 0").select("a", "b"))
+    candidates = candidates.distinct()
+    sets = words_of(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     first = candidates.join(sets.withColumnsRenamed({"id": "a", "words": "x"}), "a")
     both = first.join(sets.withColumnsRenamed({"id": "b", "words": "y"}), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    pairs = both.select("a", "b", (shared / union).alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+    shared_words = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - shared_words
+    pairs = both.select("a", "b", (shared_words / union).alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
     return pairs, members
 
 
-def near_duplicates(table: DataFrame, *, id_column: str = "row_id", text_column: str = "comment_text", similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
+def near_duplicates(table: DataFrame, *, id_column: str = "row_id", text_column: str = "comment_text", similarity: float = SIMILARITY, least: int = LEAST_WORDS, hot: int = HOT) -> DataFrame:
     """(row_id_a, row_id_b): every pair of rows whose word sets have the similarity, row_id_a < row_id_b.
 
     Identical texts and reorderings are pairs too.  Null, empty and short texts are in no pair; a row that occurs
     several times gives its pairs once; null ids are left out; extra columns are ignored; an empty table gives none.
     """
     texts = _texts(table, id_column, text_column).where(F.col("row_id").isNotNull())
-    pairs, members = similar_sets(texts, similarity, least)
+    pairs, members = similar_sets(texts, similarity, least, hot)
     other = members.select(F.col("row_id").alias("other"), "id")
     same = members.join(other, "id").where(F.col("row_id") < F.col("other")).select(F.col("row_id").alias("row_id_a"), F.col("other").alias("row_id_b"))
     left = pairs.select("a", "b").join(members.withColumnRenamed("id", "a"), "a")

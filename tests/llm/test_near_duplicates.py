@@ -123,3 +123,71 @@ def test_groups_go_on_until_nothing_moves(spark, monkeypatch):
     rows = [(k, " ".join(words[i : i + 40])) for i, k in enumerate(ids)]
     got = nd.duplicate_groups(spark.createDataFrame(rows, "row_id long, comment_text string")).collect()
     assert len(got) == 10 and {r["group_id"] for r in got} == {0}
+
+
+def with_common_part(seed, n=240):
+    """A third of the rows share two thirds of their words, without being similar; some are edited copies of others."""
+    rng = random.Random(seed)
+    common = [f"c{k}" for k in range(36)]
+    rows = corpus(seed, n - n // 3)
+    for k in range(len(rows), n):
+        if k % 4 == 0 and k > len(rows) + 4:
+            words = rows[-2][1].split()
+            words[rng.randrange(len(words))] = f"x{k}"
+        else:
+            words = common + [f"u{rng.randrange(10_000)}" for _ in range(18)]
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [3, 12])
+def test_hot_keys_go_on_to_further_rounds(spark, hot):
+    rows = with_common_part(21)
+    df = spark.createDataFrame(rows, SCHEMA)
+    texts = nd._texts(df, "row_id", "comment_text")
+    plan, frequent = nd.statistics(texts, 0.8, 8)
+    assert nd.candidates_and_members(texts, plan, frequent, 8, len(rows), hot).where("kind = 2").count() > hot
+    assert pairs(nd.near_duplicates(df, hot=hot)) == brute(rows)
+
+
+def test_no_key_is_compared_beyond_the_bound():
+    """A bucket hands on every set of a larger key, in pieces too, and compares the rest."""
+    plan = nd.Plan(0.8)
+    sets = nd.Sets([f"a b c d e f g h i w{k}" for k in range(50)], nd.Hasher(), 8)
+    key, entries = nd.extended_entries(sets, np.zeros(50, np.uint64), plan, 1)
+    entries = entries[(key % np.uint64(1)) == 0]
+    bucket = nd.Bucket(0, plan, 10)
+    bucket.HELD = 40
+    handed = []
+    for k in range(0, len(entries), 7):
+        out = bucket.add(entries[k : k + 7])
+        handed += [] if out is None else list(zip(*(x.tolist() for x in out), strict=True))
+    left, out = bucket.close()
+    handed += [] if out is None else list(zip(*(x.tolist() for x in out), strict=True))
+    counts = {}
+    for k, s in zip(entries["key"].tolist(), entries["set"].tolist(), strict=True):
+        counts.setdefault(k, set()).add(s)
+    assert len(set(handed)) == sum(len(v) for v in counts.values() if len(v) > 10)
+    assert len(left) <= sum(len(v) * (len(v) - 1) // 2 for v in counts.values() if len(v) <= 10)
+
+
+def test_pairs_of_blocks_cover_all_pairs(monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    plan = nd.Plan(0.8)
+    sets = nd.Sets([f"a b c d e f g h i j k l w{k}" for k in range(30)], nd.Hasher(), 8)
+    _, entries = nd.block_entries(sets, np.full(30, 5, np.uint64), np.full(30, 30))
+    bucket = nd.Bucket(0, plan, 1 << 62)
+    bucket.add(entries)
+    found, out = bucket.close()
+    assert out is None and len(found) == 30 * 29 // 2
+
+
+def test_pairs_of_large_keys(monkeypatch):
+    """The runs in which the pairs of one key are made give each pair once."""
+    monkeypatch.setattr(nd, "PAIR_CHUNK", 100)
+    plan = nd.Plan(0.8)
+    sets = nd.Sets([f"a b c d e f g h i j k l w{k}" for k in range(70)], nd.Hasher(), 8)
+    entries = np.zeros(70, nd.ENTRY)
+    entries["set"] = np.sort(sets.identity)
+    entries["meta"], entries["more"] = nd.signature(sets)
+    assert len(nd.join_entries(entries, plan)) == 70 * 69 // 2
