@@ -137,27 +137,28 @@ _MAYBE_UPPER = re.compile(r"[A-Z]{3}[^a-z]{3}")
 def word_strings(text: str) -> list[str]:
     """The tokens of a text, with a mark on those of stretches that are written in small letters or in capitals only."""
     pattern = _tokens_of(text)
-    whole = pattern.findall(text)
     if not _MAYBE_LOWER.search(text) and not _MAYBE_UPPER.search(text):
-        return whole
-    pieces, kinds, at = [], [], 0
+        return pattern.findall(text)
+    edges, kinds, at = [0], [], 0
     for piece in _SEGMENT.findall(text):
         kind = LOWER if piece.islower() else UPPER if len(piece) > 9 and piece.isupper() else ""
         if kind and kinds and not kinds[-1]:
             # What follows an abbreviation goes on as before, and so does a thought in small letters after dots.
             if _SHORT.search(text, max(0, at - 12), at) or kind == LOWER and _DOTS.search(text, max(0, at - 8), at):
                 kind = ""
-        pieces.append(piece), kinds.append(kind)
         at += len(piece)
+        if kinds and kinds[-1] == kind:
+            edges[-1] = at
+        else:
+            kinds.append(kind), edges.append(at)
     if not any(kinds):
-        return whole
+        return pattern.findall(text)
+    # No token goes across an edge: closing marks, line breaks and blanks are tokens or none by themselves.
     out: list[str] = []
-    at = 0
-    for piece, kind in zip(pieces, kinds, strict=True):
-        part = pattern.findall(text, at, at + len(piece))
+    for a, b, kind in zip(edges, edges[1:], kinds, strict=False):
+        part = pattern.findall(text, a, b)
         out += [w + kind if w[0].isalpha() else w for w in part] if kind else part
-        at += len(piece)
-    return out if len(out) == len(whole) else whole
+    return out
 
 
 def forms(text: str) -> list[list[tuple[int, int]]]:
