@@ -1,16 +1,18 @@
 """Problem 2: map freely typed values to the closest entry of a reference list.
 
-The reference entries, their aliases and other wordings stand in a BK-tree under the
-unrestricted Damerau-Levenshtein distance, a true metric, so the triangle inequality lets a
-search skip subtrees and still return every entry within the threshold.  The tree is walked
-once for a whole batch of values: each node compares its entry with all values still alive.
+The reference entries, their aliases and the wordings of a further input table stand in
+BK-trees under the unrestricted Damerau-Levenshtein distance, a true metric, so the triangle
+inequality lets a search skip subtrees and still return every entry within the threshold.
+Every value goes through the trees; each is walked once for a whole batch of values: a node
+compares its entry with all values still alive.  A tree holds one shard of the entries, and
+the winners of the shards merge.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import by_batch, narrow
-from .wordings import other_names
+from .wordings import read_wordings
 
-#: Entries of one tree; a larger reference list is searched shard by shard.
-SHARD_ENTRIES = 50_000
+#: Entries of one tree, and entries (some tens of megabytes) that are sent to the executors at once; a larger list takes several passes over the distinct values.
+SHARD_ENTRIES, BLOCK_ENTRIES = 50_000, 1_000_000
 
 # What people add around the value itself.
 _BEFORE = re.compile(r"^(?:i am an?|i m an?|i am|i m|an?|the|currently|soy|sou|jestem|我是)\s+(?=\S)|^我是")
@@ -148,66 +150,70 @@ class Matcher:
     def best(self, values: list[str]) -> list[tuple[int, int, int] | None]:
         """(distance, length not matched, canonical id) of each value's winner: the nearest entry, then the longest key, then the smallest id."""
         tried = [variants(v) for v in values]
-        out: list[tuple[int, int, int] | None] = [None] * len(values)
-        open_ = []
-        for i, keys in enumerate(tried):
-            exact = [(0, -len(k), self.owners[k]) for k in keys if k in self.owners]
-            if exact:
-                out[i] = min(exact)
-            else:
-                open_.append(i)
-        asked = sorted({k for i in open_ for k in tried[i]})
+        asked = sorted({k for keys in tried for k in keys})
         near = dict(zip(asked, self.tree.search(asked, np.array([threshold(len(k)) for k in asked], np.int64)), strict=True))
-        for i in open_:
-            hits = [(d, -len(k), self.owners[name]) for k in tried[i] for d, name in near[k] if d <= threshold(len(name))]
-            out[i] = min(hits, default=None)
-        return out
+        return [min(((d, -len(k), self.owners[name]) for k in keys for d, name in near[k] if d <= threshold(len(name))), default=None) for keys in tried]
 
 
-def reference_entries(canonical: DataFrame, names: Callable[[str, str], list[str]] = other_names) -> list[tuple[str, int, str]]:
-    """(field, id, name) of every entry, alias and other wording; the reference list itself is small (see SHARD_ENTRIES for larger ones)."""
-    rows = narrow(canonical, field_name="field_name", canonical_id="canonical_id", canonical_value="canonical_value", aliases="aliases").where(F.col("field_name").isNotNull() & F.col("canonical_id").isNotNull()).collect()
-    out = []
-    for r in rows:
-        wording = names(r["field_name"], r["canonical_value"]) if r["canonical_value"] else []
-        out += [(r["field_name"], int(r["canonical_id"]), n) for n in [r["canonical_value"], *(r["aliases"] or []), *wording] if n]
-    return out
+def reference_entries(canonical: DataFrame, wordings: DataFrame | None) -> DataFrame:
+    """(field_name, canonical_id, name) of every entry, alias and wording; wordings name their entry by its value, in any case."""
+    listed = narrow(canonical, field_name="field_name", canonical_id="canonical_id", canonical_value="canonical_value", aliases="aliases").where(F.col("field_name").isNotNull() & F.col("canonical_id").isNotNull())
+    listed = listed.withColumn("canonical_id", F.col("canonical_id").cast("long"))
+    names = listed.select("field_name", "canonical_id", F.explode(F.concat(F.array("canonical_value"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    if wordings is not None:
+        more = narrow(wordings, field_name="field_name", value="canonical_value", name="wording").withColumn("value", F.lower(F.trim("value")))
+        owners = listed.select("field_name", "canonical_id", F.lower(F.trim("canonical_value")).alias("value"))
+        names = names.unionByName(more.join(owners, ["field_name", "value"]).select("field_name", "canonical_id", "name"))
+    return names.where(F.col("name").isNotNull()).distinct()
 
 
-def match_values(values: DataFrame, canonical: DataFrame, *, shard_entries: int = SHARD_ENTRIES, names: Callable[[str, str], list[str]] = other_names) -> DataFrame:
+def match_values(values: DataFrame, canonical: DataFrame, *, wordings: DataFrame | None = None, shard_entries: int = SHARD_ENTRIES, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """values(field_name, value) -> (field_name, value, canonical_id, distance), one row for each distinct pair.
 
     canonical_id 0 and a null distance report a value that matches nothing.  Values are compared once each,
     however often they occur.  Each shard of the reference list returns its winner; the nearest one wins,
-    ties going to the longer key and then to the smaller id.
+    ties going to the longer key and then to the smaller id.  The list is counted before any of it is sent; one of
+    more than block_entries entries is searched in blocks.
     """
-    entries = reference_entries(canonical, names)
-    shards = [entries[i : i + shard_entries] for i in range(0, len(entries), shard_entries)] or [[]]
-    distinct = narrow(values, field_name="field_name", value="value").where(F.col("value").isNotNull()).distinct()
+    spark = values.sparkSession
+    entries = reference_entries(canonical, wordings)
+    blocks = max(1, -(-entries.count() // block_entries))
+    # The search costs much more than its bytes show, so the rows are dealt out evenly instead of being coalesced.
+    distinct = narrow(values, field_name="field_name", value="value").where(F.col("value").isNotNull()).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     winners = None
-    for shard in shards:
-        part = _match_shard(distinct, shard)
-        winners = part if winners is None else winners.unionByName(part)
-    if len(shards) > 1:
+    for block in range(blocks):
+        part = entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("field_name", "canonical_id", "name"), F.lit(blocks)) == block)
+        rows = sorted((r["field_name"], r["canonical_id"], r["name"]) for r in part.collect())
+        found_ = _match_block(distinct, rows, shard_entries)
+        winners = found_ if winners is None else winners.unionByName(found_)
+    if blocks > 1:
         order = F.struct(F.col("canonical_id") == 0, "distance", "unmatched", "canonical_id")
         winners = winners.groupBy("field_name", "value").agg(F.min_by(F.struct("canonical_id", "distance"), order).alias("w")).select("field_name", "value", "w.canonical_id", "w.distance")
     return winners.select("field_name", "value", "canonical_id", "distance")
 
 
-def _match_shard(distinct: DataFrame, shard: list[tuple[str, int, str]]) -> DataFrame:
+def _match_block(distinct: DataFrame, entries: list[tuple[str, int, str]], shard_entries: int) -> DataFrame:
+    shared = distinct.sparkSession.sparkContext.broadcast(entries)
+
     def make():
-        fields: dict[str, Matcher] = {}
+        fields: dict[str, list[Matcher]] = {}
+
+        def shards(field: str) -> list[Matcher]:
+            if field not in fields:
+                own = [(i, n) for f, i, n in shared.value if f == field]
+                fields[field] = [Matcher(own[k : k + shard_entries]) for k in range(0, len(own), shard_entries)]
+            return fields[field]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             names, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ids, far, rest = [0] * len(values), [None] * len(values), [0] * len(values)
-            for field in set(names):
-                if field not in fields:
-                    fields[field] = Matcher([(i, n) for f, i, n in shard if f == field])
+            for field in {f for f in names if f is not None}:
                 at = [i for i, f in enumerate(names) if f == field]
-                for i, won in zip(at, fields[field].best([values[i] for i in at]), strict=True):
-                    if won:
-                        far[i], rest[i], ids[i] = won
+                won = [shard.best([values[i] for i in at]) for shard in shards(field)]
+                for i, *tries in zip(at, *won, strict=True):
+                    best = min((t for t in tries if t), default=None)
+                    if best:
+                        far[i], rest[i], ids[i] = best
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(far, pa.int32()), pa.array(rest, pa.int32())], names=["field_name", "value", "canonical_id", "distance", "unmatched"])
 
         return step
@@ -215,7 +221,7 @@ def _match_shard(distinct: DataFrame, shard: list[tuple[str, int, str]]) -> Data
     return by_batch(distinct, "field_name string, value string, canonical_id long, distance int, unmatched int", make)
 
 
-def map_columns(table: DataFrame, canonical: DataFrame, *, id_column: str, fields: list[str], shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def map_columns(table: DataFrame, canonical: DataFrame, *, id_column: str, fields: list[str], wordings: DataFrame | None = None, shard_entries: int = SHARD_ENTRIES, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(row_id, field_name, canonical_id) of each value that is neither null nor blank nor exactly a canonical value.
 
     Repeated rows each give their row; a null id stays null; an empty reference list reports every value as 0.
@@ -226,7 +232,7 @@ def map_columns(table: DataFrame, canonical: DataFrame, *, id_column: str, field
     long = picked.select("row_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("v")).select(F.col("row_id").cast("long").alias("row_id"), "v.field_name", "v.value")
     exact = canonical.select("field_name", F.col("canonical_value").alias("value")).distinct()
     typed = long.where(F.col("value").rlike(r"(?U)[^\s\x1c-\x1f]")).join(F.broadcast(exact) if _small(exact) else exact, ["field_name", "value"], "left_anti")
-    matched = match_values(typed, canonical, shard_entries=shard_entries)
+    matched = match_values(typed, canonical, wordings=wordings, shard_entries=shard_entries, block_entries=block_entries)
     return typed.join(matched, ["field_name", "value"]).select("row_id", "field_name", "canonical_id")
 
 
@@ -234,6 +240,6 @@ def _small(df: DataFrame, rows: int = 100_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def found(benchmark: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(row_id, field_name, canonical_id) for role and housing_tenure."""
-    return map_columns(benchmark, canonical, id_column="row_id", fields=["role", "housing_tenure"])
+def found(benchmark: DataFrame, canonical: DataFrame, *, shard_entries: int = SHARD_ENTRIES, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """(row_id, field_name, canonical_id) for role and housing_tenure, with the default wordings."""
+    return map_columns(benchmark, canonical, id_column="row_id", fields=["role", "housing_tenure"], wordings=read_wordings(benchmark.sparkSession), shard_entries=shard_entries, block_entries=block_entries)

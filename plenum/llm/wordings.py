@@ -1,52 +1,22 @@
-"""Other names, in seven languages, of what people enter as their role or housing tenure.
+"""The table of other wordings that problem 2 reads: field_name, canonical_value, wording.
 
-Written for this project; the keys are lower-cased canonical values.  The reference table's own
-aliases are added at run time, so this list only has to hold what that table leaves out.
+What people call a role or a housing tenure in seven languages is knowledge that neither the reference list nor its few
+aliases hold, so it is an input of its own, like the list.  `wordings.tsv` beside this file, written for this project,
+is the default; any table with the three columns can stand in its place, or none.
 """
 
-ROLE = {
-    "parent": "mom; mum; mama; mommy; dad; daddy; papa; parents; pta mom; pta dad; pta parent; dad of two; mom of two; mother of three; father of three; stepmother; stepfather; stepmom; stepdad; prnt; madre; padre; mamá; papá; madre de familia; padre de familia; rodzic; matka; ojciec; mama ucznia; mãe; pai; mãe de aluno; 家长; 母亲; 父亲; 妈妈; 爸爸; माता; पिता; माता-पिता; अभिभावक; أم; أب; والد; والدة; ولي أمر",
-    "resident": "rsdnt; local resident; ward resident; lives here; i live here; neighbor; neighbour; citizen of the ward; local; residente; vecino; vecina; vecino del barrio; mieszkaniec; mieszkanka; morador; moradora; 居民; 住户; निवासी; रहवासी; ساكن; مقيم",
-    "teacher": "tchr; math teacher; science teacher; 3rd grade teacher; english teacher; classroom teacher; schoolteacher; maestra; maestro; profesor; profesora; docente; nauczyciel; nauczycielka; professor; professora; 老师; 教师; शिक्षक; शिक्षिका; अध्यापक; معلم; معلمة; مدرس",
-    "student": "stdnt; high school student; middle school student; 8th grader; 9th grader; 10th grader; senior in high school; estudiante; alumno; alumna; uczeń; uczennica; aluno; aluna; estudante; 学生; छात्र; छात्रा; विद्यार्थी; طالب; طالبة; تلميذ",
-    "community organizer": "community organiser; organizer; comm. organizer; community org.; neighborhood organizer; organiser (community); activist; organizador comunitario; organizadora comunitaria; organizator społeczny; organizatorka społeczna; organizador comunitário; 社区组织者; 社区工作者; सामुदायिक आयोजक; समुदाय संयोजक; منظم مجتمعي; منظمة مجتمعية",
-    "grandparent": "grandma; grandpa; granny; gran; nana; grandad; granddad; abuela; abuelo; babcia; dziadek; avó; avô; 奶奶; 爷爷; 外婆; 外公; 祖母; 祖父; दादी; दादा; नानी; नाना; جدة; جد; الجدة; الجد",
-    "foster carer": "foster mum; foster mom; foster dad; foster mother; foster father; fostering two kids; foster family; foster caregiver; madre de acogida; padre de acogida; familia de acogida; rodzic zastępczy; rodzina zastępcza; mãe de acolhimento; família acolhedora; 寄养家长; 寄养父母; पालक माता; पालक अभिभावक; أسرة حاضنة; أم حاضنة",
-    "school nurse": "nurse; rn at the school; nurse (school); school rn; enfermera; enfermera escolar; pielęgniarka; pielęgniarka szkolna; enfermeira; enfermeira escolar; 校医; 学校护士; 护士; स्कूल नर्स; नर्स; ممرضة; ممرضة المدرسة",
-    "bus driver": "school bus driver; drives the bus; drives the school bus; driver of the bus; chofer; chofer de autobús; conductor de autobús; conductora de autobús; kierowca autobusu; motorista de ônibus; motorista; 校车司机; 公交司机; 司机; बस चालक; बस ड्राइवर; سائق حافلة; سائق الحافلة",
-    "crossing guard": "crosswalk guard; xing guard; guard at the crossing; school crossing guard; guardia de cruce; guardia escolar; osoba przeprowadzająca; strażnik przejścia; przeprowadza dzieci; guarda de travessia; guarda de trânsito escolar; 路口协管员; 交通协管员; 护学岗; क्रॉसिंग गार्ड; حارس المعبر; حارس عبور",
-    "teaching assistant": "ta; teacher's aide; teacher asst.; teaching asst; teacher assistant; paraprofessional; paraprofessional in class; para; asistente de maestra; auxiliar docente; asystent nauczyciela; asystentka nauczyciela; pomoc nauczyciela; auxiliar de professora; auxiliar de ensino; 助教; 教学助理; सहायक शिक्षक; शिक्षण सहायक; مساعد معلم; مساعدة معلمة",
-    "librarian": "school librarian; works at the library; library staff; bibliotecario; bibliotecaria; bibliotekarz; bibliotekarka; bibliotecário; bibliotecária; 图书管理员; 图书馆员; पुस्तकालयाध्यक्ष; लाइब्रेरियन; أمين مكتبة; أمينة مكتبة",
-    "social worker": "soc. worker; soc worker; lcsw; msw; licensed clinical social worker; school social worker; trabajador social; trabajadora social; pracownik socjalny; pracownica socjalna; assistente social; 社工; 社会工作者; सामाजिक कार्यकर्ता; समाजसेवी; أخصائي اجتماعي; أخصائية اجتماعية",
-    "school counselor": "school counsellor; counsellor; counselor; guidance counsellor; consejero escolar; consejera escolar; orientadora; orientador; pedagog szkolny; doradca szkolny; conselheiro escolar; conselheira escolar; orientador escolar; orientadora escolar; 学校辅导员; 辅导员; 心理老师; स्कूल परामर्शदाता; परामर्शदाता; مرشد مدرسي; مرشدة مدرسية",
-    "local business owner": "small business owner; business owner; biz owner; store owner; shop owner; runs a bakery here; owns a shop here; dueño de negocio; dueña de negocio; comerciante; właściciel firmy; przedsiębiorca; właściciel sklepu; dono de negócio; dona de negócio; dona de loja; dono de loja; 小店老板; 店主; 老板; दुकानदार; व्यवसायी; صاحب متجر; صاحب محل; صاحبة متجر",
-    "custodian": "school custodian; caretaker; caretaker of the building; building caretaker; cleaner; cleaner at school; school cleaner; conserje; woźny; woźna; dozorca; zelador; zeladora; 管理员; 清洁工; 校工; सफाई कर्मचारी; चौकीदार; حارس المدرسة; عامل نظافة",
-    "cafeteria worker": "kitchen staff; lunch lady; lunchroom worker; works in the canteen; canteen worker; cook at school; school cook; cocinera; cocinera escolar; trabajadora de cafetería; kucharka; pracownik stołówki; merendeira; cozinheira da escola; 食堂员工; 食堂阿姨; कैंटीन कर्मचारी; रसोइया; عاملة المقصف; عامل المقصف; طباخة",
-    "interpreter": "asl interpreter; sign language interpreter; court interpreter; intérprete; traductor; traductora; tłumacz; tłumaczka; tradutor; tradutora; 翻译; 口译员; 译员; दुभाषिया; अनुवादक; مترجم; مترجمة; مترجم شفوي",
-    "retired teacher": "teacher, retired; teacher (retired); ex teacher; ex-teacher; retired schoolteacher; maestra jubilada; maestro jubilado; profesor jubilado; profesora jubilada; emerytowany nauczyciel; emerytowana nauczycielka; nauczyciel na emeryturze; nauczycielka na emeryturze; professora aposentada; professor aposentado; 退休教师; 退休老师; सेवानिवृत्त शिक्षक; सेवानिवृत्त शिक्षिका; معلم متقاعد; معلمة متقاعدة",
-    "school principal": "principal; principal, elementary; headmaster; headmistress; headteacher; head of school; director; directora; director de escuela; directora de escuela; dyrektor; dyrektorka; dyrektor szkoły; dyrektorka szkoły; diretor; diretora; diretor da escola; diretora da escola; 校长; प्रधानाचार्य; प्रधानाध्यापक; مدير المدرسة; مديرة المدرسة; مدير مدرسة",
-    "faith leader": "pastor; priest; rabbi; imam; minister; minister of a church; church minister; reverend; sacerdote; líder religioso; cura; ksiądz; proboszcz; padre da igreja; pastora; 牧师; 神父; 宗教领袖; पुजारी; पंडित; पादरी; إمام; رجل دين; إمام مسجد",
-    "youth coach": "coach; track coach; soccer coach; basketball coach; football coach; coaches soccer; coaches little league; entrenador; entrenadora; entrenador juvenil; trener; trenerka; trener młodzieży; treinador; treinadora; 教练; 青少年教练; युवा कोच; प्रशिक्षक; कोच; مدرب; مدرب شباب; مدربة",
-}
+from __future__ import annotations
 
-HOUSING_TENURE = {
-    "renter": "rents; rentr; renting; i rent; rent; we rent; lease holder; leaseholder; lessee; apartment - rent; rented apartment; rented flat; inquilino; inquilina; alquilo; arrendatario; najemca; wynajmuję; wynajem; locatário; locatária; alugo; aluguel; 租房; 租户; 租客; किरायेदार; किराये पर; مستأجر; مستأجرة; إيجار",
-    "owner": "own; ownr; i own; own my home; own home; we own; home owner; house owner; homeowner; mortgage; with mortgage; paying mortgage; propietario; propietaria; dueño; dueña; casa propia; właściciel; właścicielka; własne mieszkanie; dono; dona; proprietário; proprietária; casa própria; 业主; 房主; 自有住房; मकान मालिक; अपना घर; स्वामी; مالك; مالكة; ملك",
-    "other": "other - explain; other (see note); other, see note; something else; otro; otra; inne; inny; outro; outra; 其他; 其它; अन्य; कोई अन्य; أخرى; غير ذلك; آخر",
-    "public housing": "public hsg; public housing apartment; city housing project; housing project; council housing; projects; vivienda pública; mieszkanie komunalne; mieszkanie socjalne; habitação pública; moradia pública; habitação social; 公共住房; 公租房; 廉租房; सार्वजनिक आवास; सरकारी आवास; إسكان عام; سكن حكومي; سكن عام",
-    "housing voucher": "voucher; hsg voucher; section 8; section 8 voucher; section voucher; renting with voucher; rent with voucher; vale de vivienda; bon mieszkaniowy; bono de vivienda; vale-moradia; vale moradia; voucher habitacional; 住房券; 租房补贴; 住房补贴; आवास वाउचर; قسيمة سكن; قسيمة إسكان",
-    "living with relatives": "living with family; with my parents; with parents; with family; with relatives; lives with my parents; staying with family; staying with relatives; staying at my sister; staying at my sister's; staying at my brother's; con mi familia; con mis padres; con familiares; z rodzicami; z rodziną; u rodziny; mieszkam z rodzicami; com meus pais; com a família; com familiares; 和父母住; 与父母同住; 和家人住; 与家人同住; 和亲戚住; परिवार के साथ; माता-पिता के साथ; रिश्तेदारों के साथ; مع العائلة; مع أهلي; مع والدي; مع الأقارب",
-    "student housing": "dorm; dorms; campus residence; residence hall; student residence; student dorm; residencia estudiantil; residencia de estudiantes; akademik; dom studencki; residência estudantil; alojamento estudantil; república de estudantes; 学生宿舍; 宿舍; छात्रावास; हॉस्टल; سكن طلابي; سكن الطلاب",
-    "housing cooperative": "coop; co-op; co-op share; housing coop; housing co-op; cooperative; cooperative apartment; cooperativa; cooperativa de vivienda; spółdzielnia; spółdzielnia mieszkaniowa; mieszkanie spółdzielcze; cooperativa habitacional; cooperativa de habitação; 住房合作社; 合作社; सहकारी आवास; आवास सहकारी; تعاونية سكنية; جمعية سكنية",
-    "temporary shelter": "shelter; family shelter; homeless shelter; motel, temporary; motel temporary; temporary motel; transitional shelter; refugio; refugio temporal; albergue; albergue temporal; schronisko; noclegownia; abrigo; abrigo temporário; 收容所; 临时住所; 庇护所; अस्थायी आश्रय; आश्रय गृह; مأوى; مأوى مؤقت",
-    "mobile home": "trailer park; trailer home; manufactured home; manufactured housing; rv park; casa móvil; casa rodante; dom mobilny; przyczepa; casa móvel; trailer fixo; 活动房屋; 移动房屋; 房车; मोबाइल होम; चलता-फिरता घर; منزل متنقل; بيت متنقل",
-    "military housing": "army housing; base housing; on base; barracks; navy housing; vivienda militar; cuartel; mieszkanie wojskowe; koszary; habitação militar; moradia militar; quartel; 军队住房; 军营; 部队住房; सैन्य आवास; फौजी क्वार्टर; سكن عسكري; إسكان عسكري",
-    "supportive housing": "supported housing; asst. living; asst living; group home; supported living; care home; vivienda asistida; vivienda de apoyo; mieszkanie wspomagane; dom opieki; moradia assistida; habitação assistida; moradia com apoio; 支持性住房; 辅助生活; 养老院; सहायक आवास; सहायता प्राप्त आवास; سكن مدعوم; سكن داعم; رعاية معيشية",
-}
+from pathlib import Path
 
-FIELDS = {"role": ROLE, "housing_tenure": HOUSING_TENURE}
+from pyspark.sql import DataFrame, SparkSession
 
+DEFAULT = Path(__file__).with_name("wordings.tsv")
+SCHEMA = "field_name string, canonical_value string, wording string"
 
-def other_names(field: str, canonical: str) -> list[str]:
-    """The listed other names of a canonical value; none if the list doesn't know it."""
-    return [x.strip() for x in FIELDS.get(field, {}).get(canonical.strip().casefold(), "").split(";") if x.strip()]
+
+def read_wordings(spark: SparkSession, path: str | Path = DEFAULT) -> DataFrame:
+    """The wordings of a tab-separated file with a header; blank lines are left out."""
+    lines = Path(path).read_text(encoding="utf-8").splitlines()[1:]
+    rows = [tuple(line.split("\t")) for line in lines if line.strip()]
+    return spark.createDataFrame(rows, SCHEMA)

@@ -54,7 +54,21 @@ def test_ties_go_to_the_smaller_id(spark):
 
 def test_shards_merge_to_the_same_winners(spark):
     rows = [(1, "mohter", "tenent"), (2, "edcuator", "onwer"), (3, "nothing like it", "rent")]
-    assert mapped(spark, rows) == mapped(spark, rows, shard_entries=2)
+    assert mapped(spark, rows) == mapped(spark, rows, shard_entries=2) == mapped(spark, rows, shard_entries=2, block_entries=3)
+
+
+def test_wordings_are_an_input(spark):
+    rows = [(1, "mum", "lives in a flat"), (2, "mama", None)]
+    table = spark.createDataFrame([("role", "PARENT", "mum"), ("role", "nobody", "mama"), ("role", None, "x"), (None, "parent", "y")], "field_name string, canonical_value string, wording string")
+    assert mapped(spark, rows) == [(1, "role", 0), (1, "tenure", 0), (2, "role", 0)]
+    assert mapped(spark, rows, wordings=table) == [(1, "role", 1), (1, "tenure", 0), (2, "role", 0)]
+
+
+def test_default_wordings(spark):
+    from plenum.llm.wordings import read_wordings
+
+    table = read_wordings(spark)
+    assert table.where("field_name is null or canonical_value is null or wording is null").count() == 0 and table.count() > 100
 
 
 def test_empty_tables(spark):
