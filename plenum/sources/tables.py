@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import shutil
@@ -43,19 +44,19 @@ class LoadReport:
 ORDER = "source_order"
 
 
-def encoding_of(path: str | Path, sample: int = 1 << 20) -> tuple[str, bool]:
-    """(encoding, whether a byte order mark leads): UTF-8 if the first bytes are valid, else Windows-1252."""
-    with open(path, "rb") as stream:
-        head = stream.read(sample)
-    marked = head.startswith(b"\xef\xbb\xbf")
-    for cut in range(4):  # the sample may end inside a character
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return _ENCODINGS[0], marked
-        except UnicodeDecodeError as error:
-            if error.start < len(head) - 4:
-                break
-    return _ENCODINGS[1], False
+def encoding_of(path: str | Path, piece: int = 1 << 22) -> tuple[str, bool]:
+    """(encoding, whether a byte order mark leads): UTF-8 if the whole file is valid, else Windows-1252; read in pieces, once."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    marked = None
+    try:
+        with open(path, "rb") as stream:
+            while part := stream.read(piece):
+                marked = part.startswith(codecs.BOM_UTF8) if marked is None else marked
+                decoder.decode(part)
+        decoder.decode(b"", final=True)
+    except UnicodeDecodeError:
+        return _ENCODINGS[1], False
+    return _ENCODINGS[0], bool(marked)
 
 
 def read_csv(spark: SparkSession, path: str | Path, *, preserve_text: bool = False) -> tuple[DataFrame, str]:
@@ -87,12 +88,12 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
 def list_sheets(path: str | Path, filename: str | None = None) -> list[str]:
     """Names of the sheets of a workbook."""
     if Path(filename or path).suffix.lower() != ".xlsx":
-        raise IngestError("Sheets can only be listed for XLSX files.")
+        raise IngestError("Only XLSX workbooks have sheets to list.")
     try:
         with zipfile.ZipFile(path) as book:
             return [name for name, _ in _sheets(book)]
     except (KeyError, zipfile.BadZipFile, ElementTree.ParseError, OSError):
-        raise IngestError("The workbook could not be read.") from None
+        raise IngestError("This is no readable workbook.") from None
 
 
 def _column_number(reference: str) -> int:
@@ -111,7 +112,7 @@ def sheet_rows(path: str | Path, sheet: str | None = None) -> Iterator[list[str]
         sheets = _sheets(book)
         target = sheets[0][1] if sheet is None else dict(sheets).get(sheet)
         if target is None:
-            raise IngestError("The workbook has no such sheet.")
+            raise IngestError("No sheet of that name is in the workbook.")
         with book.open(target) as stream:
             for _, element in ElementTree.iterparse(stream):
                 if element.tag != "{" + _NS["m"] + "}row":
@@ -138,12 +139,12 @@ def read_xlsx(spark: SparkSession, path: str | Path, sheet: str | None = None) -
         rows = sheet_rows(path, sheet)
         header = next(rows, None)
         if header is None:
-            raise IngestError("The file has no columns.")
+            raise IngestError("No column was found in the file.")
         names = [h if h.strip() else f"Unnamed: {i}" for i, h in enumerate(header)]
         width = len(names)
         data = [(i, *(r + [""] * width)[:width]) for i, r in enumerate(rows)]
     except (KeyError, zipfile.BadZipFile, ElementTree.ParseError, OSError):
-        raise IngestError("The file could not be read as a valid table.") from None
+        raise IngestError("The file is no readable table.") from None
     kinds = T.StructType([T.StructField(ORDER, T.LongType()), *[T.StructField(n, T.StringType()) for n in names]])
     return spark.createDataFrame(data, kinds)
 
@@ -155,13 +156,13 @@ def load_table(spark: SparkSession, path: str | Path, *, filename: str | None =
     name = filename or Path(path).name
     kind = Path(name).suffix.lower()
     if kind not in (".csv", ".xlsx"):
-        raise IngestError("Provide a CSV or XLSX file.")
+        raise IngestError("Only CSV and XLSX files are read.")
     warnings: list[str] = []
     if kind == ".csv":
         try:
             df, encoding = read_csv(spark, path, preserve_text=preserve_text)
         except Exception:  # the reader's message may quote cells
-            raise IngestError("The file could not be read as a valid table.") from None
+            raise IngestError("The file is no readable table.") from None
         # One file with quoted line breaks is one task, so this id follows the order of its rows.
         df, sheet = df.withColumn(ORDER, F.monotonically_increasing_id()), None
         if encoding != _ENCODINGS[0]:
@@ -170,7 +171,7 @@ def load_table(spark: SparkSession, path: str | Path, *, filename: str | None =
         df, sheet = read_xlsx(spark, path, sheet_name), sheet_name or "0"
     data = [c for c in df.columns if c != ORDER]
     if not data:
-        raise IngestError("The file has no columns.")
+        raise IngestError("No column was found in the file.")
     omitted = 0
     if row_cap is not None:
         kept = df.orderBy(ORDER).limit(row_cap + 1)
@@ -182,7 +183,7 @@ def load_table(spark: SparkSession, path: str | Path, *, filename: str | None =
     else:
         n = df.limit(1).count()
     if n == 0:
-        raise IngestError("The file has column headers but no data rows.")
+        raise IngestError("There is no row below the headers.")
     if any(c.startswith(("Unnamed:", "_c")) for c in data):
         warnings.append("One or more columns have blank headers and should not be mapped.")
     return LoadReport(df, name, sheet, omitted, tuple(warnings))
@@ -194,9 +195,9 @@ def load_reference_csv(spark: SparkSession, path: str | Path, *, group_column: s
         df, _ = read_csv(spark, path, preserve_text=True)
         rows = df.select(F.col(f"`{group_column}`"), F.col(f"`{share_column}`")).limit(5001).collect()
     except Exception:
-        raise ReferenceError("The reference CSV could not be read.") from None
+        raise ReferenceError("The reference table is not readable.") from None
     if len(rows) > 5000:
-        raise ReferenceError("The reference CSV exceeds 5,000 groups.")
+        raise ReferenceError("The reference table has more than 5,000 groups.")
     return [(r[0], r[1]) for r in rows]
 
 
@@ -211,7 +212,7 @@ def read_side_text(path: str | Path, limit: int = 400_000) -> str:
     """A small UTF-8 text file; one larger than `limit` bytes is refused."""
     data = Path(path).open("rb").read(limit + 1)
     if len(data) > limit:
-        raise IngestError("The side file is too large.")
+        raise IngestError("The side file exceeds its size limit.")
     try:
         return data.decode("utf-8-sig")
     except UnicodeDecodeError:
@@ -223,9 +224,9 @@ def read_references(path: str | Path, subgroups: list[str]) -> dict[str, dict[st
     try:
         value = json.loads(read_side_text(path, 1_000_000), object_pairs_hook=_no_repeats)
     except (ValueError, IngestError):
-        raise ReferenceError("The reference file could not be read.") from None
+        raise ReferenceError("The reference file is not readable.") from None
     if not isinstance(value, dict) or any(k not in subgroups or not isinstance(v, dict) for k, v in value.items()):
-        raise ReferenceError("References must map selected subgroup columns to shares.")
+        raise ReferenceError("A reference file maps subgroup columns to shares.")
     return {f"subgroup__{k}": v for k, v in value.items()}
 
 
@@ -234,14 +235,14 @@ def read_zipped_csv(spark: SparkSession, archive: str | Path, folder: str | Path
     with zipfile.ZipFile(archive) as zipped:
         members = [m for m in zipped.infolist() if m.filename.lower().endswith(".csv")]
         if len(members) != 1:
-            raise IngestError("Expected exactly one CSV in the archive.")
+            raise IngestError("The archive must hold one CSV and no other.")
         target = Path(folder) / Path(members[0].filename).name
         target.parent.mkdir(parents=True, exist_ok=True)
         with zipped.open(members[0]) as raw, target.open("wb") as out:
             shutil.copyfileobj(raw, out)
     df, _ = read_csv(spark, target, preserve_text=preserve_text)
     if not set(required) <= set(df.columns):
-        raise IngestError("The archive is missing required columns.")
+        raise IngestError("Columns are missing in the archived table.")
     return df
 
 
