@@ -27,8 +27,6 @@ BUCKETS = 1 << 18
 UTF8_GAIN, TABLE_GAIN = 3.0, 7.5
 #: Count that stands for a pair that no document has: it costs far more than a pair seen once.
 UNSEEN = 1e-6
-#: Nested mistakes that are undone at most.
-MAX_LAYERS = 6
 LOST = "�"
 
 _UTF8 = "utf-8"
@@ -123,17 +121,26 @@ def layers() -> list[Layer]:
     return out
 
 
-def _pairs(text: str) -> np.ndarray:
-    """Buckets of the neighbouring characters of which one at least is beyond ASCII."""
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    x = np.where((x >= 9) & (x <= 13), np.uint64(32), x)
+def _pairs_at(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places and buckets of the neighbouring characters of which one at least is beyond ASCII."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    high = x > 127
+    at = np.flatnonzero(high[:-1] | high[1:])
+    a, b = x[at].astype(np.uint64), x[at + 1].astype(np.uint64)
+    space = np.uint64(32)
+    a, b = (np.where((y >= 9) & (y <= 13), space, y) for y in (a, b))
     # White space behind a digit is a character of its own: a degree sign follows it, an opening mark does not.
-    behind = np.r_[False, (x[:-1] >= 48) & (x[:-1] <= 57)] if len(x) else np.zeros(0, bool)
-    x = np.where((x == 32) & behind, np.uint64(1), x)
-    a, b = x[:-1], x[1:]
-    a, b = a[k := (a > 127) | (b > 127)], b[k]
+    before = x[np.maximum(at - 1, 0)]
+    a = np.where((a == space) & (at > 0) & (before >= 48) & (before <= 57), np.uint64(1), a)
+    b = np.where((b == space) & (a >= 48) & (a <= 57), np.uint64(1), b)
     mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
-    return (mixed % np.uint64(BUCKETS)).astype(np.int64)
+    return at, (mixed % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _pairs(text: str) -> np.ndarray:
+    return _pairs_at(text)[1]
 
 
 def pair_counts(documents: DataFrame, text_column: str = "text") -> np.ndarray:
@@ -159,8 +166,22 @@ def pair_counts(documents: DataFrame, text_column: str = "text") -> np.ndarray:
     return total
 
 
+class Unit:
+    """What each layer makes of one unit of text, and by how much the cost drops."""
+
+    __slots__ = ("fixed", "gain")
+
+    def __init__(self) -> None:
+        self.fixed: dict[int, str] = {}
+        self.gain: dict[int, float] = {}
+
+
 class Repairer:
-    """Repairs texts by a cost table; keeps what it found for each unit, as words repeat."""
+    """Repairs texts by a cost table; keeps what it found for each unit, as words repeat.
+
+    The units of a batch of texts are worked out together: a layer is only tried on a unit whose characters its wrong
+    codec has, and all that the layers make of all units is scored at once.
+    """
 
     #: Units remembered in one worker.
     MEMORY = 200_000
@@ -170,77 +191,141 @@ class Repairer:
         self.cost_of = (-np.log((counts + UNSEEN) / (total + 1.0))).astype(np.float32)
         self.layers = layers()
         self.nested = [layer for layer in self.layers if layer.right == _UTF8 and layer.wrong in ("cp1252", "latin-1")]
-        self.known: dict[tuple[str, bool], list[tuple[str, float] | None]] = {}
-
-    def cost(self, unit: str, numbered: bool = False) -> float:
-        return float(self.cost_of[_pairs(f"0 {unit} " if numbered else f" {unit} ")].sum())
-
-    def tries(self, unit: str, numbered: bool = False) -> list[tuple[str, float] | None]:
-        """For each layer what it makes of the unit and by how much the cost drops; numbered: the unit stands behind a number."""
-        if (unit, numbered) not in self.known:
-            if len(self.known) >= self.MEMORY:
-                self.known.clear()
-            before, tries = self.cost(unit, numbered), []
-            seen: dict[str, float] = {}
-            for layer in self.layers:
-                fixed = layer.repair(unit)
-                if fixed is None:
-                    tries.append(None)
-                    continue
-                if layer.right == _UTF8:
+        self.least = [UTF8_GAIN if layer.right == _UTF8 else TABLE_GAIN for layer in self.layers]
+        # By wrong codec: bit w of `has[c]` says that codec w has character c.
+        codecs = sorted({layer.wrong for layer in self.layers if not layer.wide})
+        self.has: dict[str, int] = {}
+        for k, codec in enumerate(codecs):
+            for c in _table(codec)[1]:
+                if c > "\x7f":
+                    self.has[c] = self.has.get(c, 0) | 1 << k
+        bit = {codec: 1 << k for k, codec in enumerate(codecs)}
+        self.by_utf8 = [(k, layer, bit.get(layer.wrong, 0)) for k, layer in enumerate(self.layers) if layer.right == _UTF8]
+        self.by_table = [(k, layer, bit[layer.wrong]) for k, layer in enumerate(self.layers) if layer.right in RIGHT_TABLE]
+        self.by_multi = [(k, layer, bit[layer.wrong]) for k, layer in enumerate(self.layers) if layer.right in RIGHT_MULTI]
+        self.known: dict[tuple[str, bool], Unit] = {}
+
+    def costs(self, units: list[tuple[str, bool]]) -> np.ndarray:
+        """The cost of each unit between blanks, or behind a number and a blank."""
+        texts = [f"0 {unit} " if numbered else f" {unit} " for unit, numbered in units]
+        # Each text begins and ends with ASCII, so no pair lies between two.
+        at, bucket = _pairs_at("".join(texts))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        return np.bincount(np.searchsorted(ends, at, side="right"), self.cost_of[bucket], len(texts))
+
+    def _fixes(self, unit: str) -> dict[int, list[str]]:
+        """For each layer that changes something the results to choose from."""
+        out: dict[int, list[str]] = {}
+        every, some, high = -1, 0, 0
+        for c in unit:
+            if c > "\x7f":
+                mask = self.has.get(c, 0)
+                every &= mask
+                some |= mask
+                high += 1
+        if high > 1:  # a character of UTF-8 beyond ASCII has two bytes at least
+            for k, layer, bit in self.by_utf8:
+                fixed = layer.utf8(unit) if layer.wide or some & bit else None
+                if fixed is not None:
                     # What lies between two layers may look worse than either end: look one further.
                     again = self.nested if layer.wrong in ("cp1252", "latin-1") else [layer]
-                    deeper = [d for d in (inner.utf8(fixed) for inner in again) if d is not None]
-                    fixed = min([fixed, *deeper], key=lambda f: self.cost(f, numbered))
-                if fixed not in seen:
-                    seen[fixed] = before - self.cost(fixed, numbered)
-                tries.append((fixed, seen[fixed]))
-            self.known[unit, numbered] = tries
-        return self.known[unit, numbered]
-
-    def once(self, text: str) -> str | None:
+                    out[k] = [fixed, *(d for d in (inner.utf8(fixed) for inner in again) if d is not None)]
+        else:
+            for k, layer, _ in self.by_utf8:
+                fixed = layer.utf8(unit) if layer.wide else None
+                if fixed is not None:
+                    out[k] = [fixed, *(d for d in (layer.utf8(fixed),) if d is not None)]
+        if every:
+            for k, layer, bit in self.by_table:
+                if every & bit:
+                    out[k] = [unit.translate(layer.swap)]
+        if some:
+            for k, layer, bit in self.by_multi:
+                fixed = layer.multi(unit) if some & bit else None
+                if fixed is not None:
+                    out[k] = [fixed]
+        return out
+
+    def learn(self, units: set[tuple[str, bool]]) -> None:
+        """Works out what the layers make of new units."""
+        fresh = [u for u in units if u not in self.known]
+        for begin in range(0, len(fresh), 4096):
+            part = fresh[begin : begin + 4096]
+            fixes = [self._fixes(unit) for unit, _ in part]
+            asked = [dict.fromkeys([unit, *(f for listed in found.values() for f in listed)]) for (unit, _), found in zip(part, fixes, strict=True)]
+            cost = self.costs([(text, numbered) for (_, numbered), texts in zip(part, asked, strict=True) for text in texts]).tolist()
+            at = 0
+            for key, found, texts in zip(part, fixes, asked, strict=True):
+                of = dict(zip(texts, cost[at : at + len(texts)], strict=True))
+                at += len(texts)
+                made = self.known[key] = Unit()
+                before = of[key[0]]
+                for k, listed in found.items():
+                    best = min(listed, key=of.__getitem__)
+                    made.fixed[k], made.gain[k] = best, before - of[best]
+
+    def once(self, text: str, found: list[re.Match], keys: list[tuple[str, bool]]) -> str | None:
         """The text with the best layer undone where it helps; None if no layer lowers the cost enough."""
-        found = list(_UNIT.finditer(text))
-        if not found:
-            return None
-        tried = [self.tries(m[0], m.start() > 1 and "0" <= text[m.start() - 2] <= "9") for m in found]
+        units = [self.known[k] for k in keys]
+        # No layer can gain more than its units do together.
+        most: dict[int, float] = {}
+        for unit in units:
+            for k, gain in unit.gain.items():
+                if gain > 0:
+                    most[k] = most.get(k, 0.0) + gain
         best, at = 0.0, None
-        for k, layer in enumerate(self.layers):
-            if layer.right == _UTF8:
-                chosen = [i for i, t in enumerate(tried) if t[k] and t[k][1] > 0]
-                gain = sum(tried[i][k][1] for i in chosen)
-                least = UTF8_GAIN
+        for k in sorted(most):
+            if most[k] < self.least[k] or most[k] <= best:
+                continue
+            if self.layers[k].right == _UTF8:
+                gain, chosen = most[k], [i for i, u in enumerate(units) if u.gain.get(k, 0.0) > 0]
             else:
                 # The run of units that gains most as a whole: inside a garbled place every unit is repaired.
                 gain, first, chosen, run = 0.0, 0, [], 0.0
-                for i, t in enumerate(tried):
-                    if t[k] is None:
+                for i, u in enumerate(units):
+                    if k not in u.gain:
                         run, first = 0.0, i + 1
                         continue
                     if run <= 0:
                         run, first = 0.0, i
-                    run += t[k][1]
+                    run += u.gain[k]
                     if run > gain:
                         gain, chosen = run, list(range(first, i + 1))
-                least = TABLE_GAIN
-            if gain >= least and gain > best:
+            if gain >= self.least[k] and gain > best:
                 best, at = gain, (k, chosen)
         if at is None:
             return None
         out, last = [], 0
         for i in at[1]:
-            out += [text[last : found[i].start()], tried[i][at[0]][0]]
+            out += [text[last : found[i].start()], units[i].fixed[at[0]]]
             last = found[i].end()
         return "".join(out) + text[last:]
 
+    def repair_all(self, texts: list[str]) -> list[tuple[str, int]]:
+        """Each text restored, and how many layers were undone.
+
+        Every layer lowers the cost of its text, so this ends; there is no other limit to the layers.
+        """
+        out = [(text, 0) for text in texts]
+        live = list(range(len(texts)))
+        while live:
+            found = [list(_UNIT.finditer(out[i][0])) for i in live]
+            keys = [[(m[0], m.start() > 1 and "0" <= out[i][0][m.start() - 2] <= "9") for m in listed] for i, listed in zip(live, found, strict=True)]
+            if len(self.known) >= self.MEMORY:
+                self.known.clear()
+            self.learn({k for listed in keys for k in listed})
+            again = []
+            for i, listed, of in zip(live, found, keys, strict=True):
+                text, n = out[i]
+                fixed = self.once(text, listed, of) if listed else None
+                if fixed is not None and fixed != text:
+                    out[i] = (fixed, n + 1)
+                    again.append(i)
+            live = again
+        return out
+
     def repair(self, text: str) -> tuple[str, int]:
-        """The restored text and how many layers were undone."""
-        for n in range(MAX_LAYERS):
-            fixed = self.once(text)
-            if fixed is None or fixed == text:
-                return text, n
-            text = fixed
-        return text, MAX_LAYERS
+        return self.repair_all([text])[0]
 
 
 def repair_encoding(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -260,13 +345,17 @@ def repair_encoding(documents: DataFrame, *, id_column: str = "doc_id", text_col
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, restored, undone = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if LOST in text:
-                    ids.append(key), restored.append(None), undone.append(0)
-                    continue
-                fixed, n = repairer.repair(text)
-                if n and fixed != text:
-                    ids.append(key), restored.append(fixed), undone.append(n)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for begin in range(0, len(texts), 512):
+                part = texts[begin : begin + 512]
+                done = iter(repairer.repair_all([t for t in part if LOST not in t]))
+                for key, text in zip(keys[begin : begin + 512], part, strict=True):
+                    if LOST in text:
+                        ids.append(key), restored.append(None), undone.append(0)
+                        continue
+                    fixed, n = next(done)
+                    if n and fixed != text:
+                        ids.append(key), restored.append(fixed), undone.append(n)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(restored, pa.string()), pa.array(undone, pa.int32())], names=["doc_id", "restored", "layers"])
 
         return step

@@ -25,12 +25,12 @@ from .batches import by_batch, narrow
 WORDS, CHARACTERS = 12, 20
 #: Items are sent to the executors in blocks of at most this many characters; a larger table takes several passes.
 BLOCK_CHARACTERS = 4_000_000
-#: Longest match that is measured, in units; longer ones are reported with this length.
-LONGEST = 512
+#: Units by which all open matches are measured at a time.
+STRIDE = 32
 
 MATCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_units", T.IntegerType()), T.StructField("doc_unit", T.LongType()), T.StructField("item_unit", T.IntegerType())])
 
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,400}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _WRAP = re.compile(r"(?<=\w)[-­‐][ \t]*\r?\n[ \t>]*(?=\w)")
 _DROP = re.compile(r"[^\w\s]|_")
@@ -162,12 +162,14 @@ class Index:
         query, place, document, begin = query[first], place[first], document[first], begin[first]
         length = np.full(len(query), self.least, np.int64)
         live = np.arange(len(query))
+        ahead = np.arange(STRIDE)
         while len(live):
-            a, b = place[live] + length[live], begin[live] + length[live]
-            same = (a < len(kept)) & (length[live] < LONGEST)
-            same &= (kept[np.minimum(a, len(kept) - 1)] == self.stream[b]) & (self.stream[b] != 0)
-            live = live[same]
-            length[live] += 1
+            a, b = (place[live] + length[live])[:, None] + ahead, (begin[live] + length[live])[:, None] + ahead
+            b = np.minimum(b, len(self.stream) - 1)  # the stream ends with 0, which matches nothing
+            same = (a < len(kept)) & (kept[np.minimum(a, len(kept) - 1)] == self.stream[b]) & (self.stream[b] != 0)
+            run = np.where(same.all(axis=1), STRIDE, same.argmin(axis=1))
+            length[live] += run
+            live = live[run == STRIDE]
         best = np.lexsort((place, -length, self.owner[query], document))
         one = best[np.r_[True, (np.diff(document[best]) != 0) | (np.diff(self.owner[query][best]) != 0)]]
         base = np.cumsum(lengths) - lengths
@@ -200,8 +202,11 @@ def _leaks_of_block(source: DataFrame, rows: list[tuple[int, str]], least_words:
     by_words = [(k, words(t)) for k, t in rows if not chinese[k]]
     by_characters = [(k, characters(t)) for k, t in rows if chinese[k]]
 
+    # Built once and broadcast; its size is bounded by that of the block.
+    shared = source.sparkSession.sparkContext.broadcast((Index.build(by_words, least_words), Index.build(by_characters, least_characters)))
+
     def make():
-        kinds = [(Index.build(by_words, least_words), words, None), (Index.build(by_characters, least_characters), characters, _HAN)]
+        kinds = list(zip(shared.value, (words, characters), (None, _HAN), strict=True))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -66,12 +66,18 @@ def p7_matches(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
 
 
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of the documents that stay when those with a leak are taken out."""
+    documents = _read(spark, folder, "documents")
+    return leakage.without_leaks(documents, leakage.leaks(documents, _read(spark, folder, "eval_items"))).select("doc_id")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_repair.found(_read(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (p1_found, p1_groups, p2_found, p2_shards, p3_found, p3_spans, p4_found, p4_redacted, p5_found, p6_ids, p6_round_trip, p7_found, p7_matches, p8_found)
+    listed = (p1_found, p1_groups, p2_found, p2_shards, p3_found, p3_spans, p4_found, p4_redacted, p5_found, p6_ids, p6_round_trip, p7_found, p7_matches, p7_clean, p8_found)
     return {f.__name__: f for f in listed}
 
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from plenum.llm import encoding_repair as er
@@ -62,3 +63,25 @@ def test_empty_table_and_long_text(spark):
     df = spark.createDataFrame([(1, long_text), (2, wrong(long_text, "utf-8", "cp1252"))], "doc_id long, text string")
     got = {r["doc_id"]: r["restored"] for r in er.repair_encoding(df).collect()}
     assert got == {2: long_text}
+
+
+def test_layers_are_undone_to_the_last():
+    text, wrong = "señor, ¿qué pasó en la reunión de mañana?", 9
+    counts = np.bincount(er._pairs((text + "\n") * 50), minlength=er.BUCKETS)
+    garbled = text
+    for _ in range(wrong):
+        garbled = garbled.encode("utf-8").decode("latin-1")
+    fixed, n = er.Repairer(counts).repair(garbled)
+    assert fixed == text and n >= 5
+
+
+def test_batch_equals_one_by_one():
+    rng = np.random.default_rng(2)
+    words = "niño café résumé señal über straße plain words 12° “quoted” naïve".split()
+    texts = []
+    for _ in range(60):
+        text = " ".join(rng.choice(words, 8))
+        texts.append(text.encode("utf-8").decode("cp1252", "replace") if rng.random() < 0.5 else text)
+    texts = [t for t in texts if er.LOST not in t] + ["", "ascii only", "é"]
+    counts = np.bincount(er._pairs("\n".join([" ".join(words)] * 40)), minlength=er.BUCKETS)
+    assert er.Repairer(counts).repair_all(texts) == [er.Repairer(counts).repair(t) for t in texts]

@@ -77,3 +77,15 @@ def test_search_equals_brute_force():
 
 def test_very_long_text(spark):
     assert found(spark, [(1, "word " * 300_000 + ITEM)]) == [(1, 1)]
+
+
+def test_matches_are_measured_to_their_end(spark):
+    """Neither a long match nor a long tag inside it is cut."""
+    units = [f"word{k}" for k in range(1500)]
+    item = " ".join(units)
+    tag = '<a href="' + "x" * 900 + '">'
+    document = "before it " + " ".join(units[:700]) + tag + " " + " ".join(units[700:]) + " after it"
+    docs = spark.createDataFrame([(1, document), (2, " ".join(units[100:1340]))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, item)], "item_id long, item_text string")
+    got = {r["doc_id"]: r["n_units"] for r in le.leaks(docs, items).collect()}
+    assert got == {1: 1500, 2: 1240}
