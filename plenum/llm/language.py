@@ -3,7 +3,9 @@
 Every word gets a likelihood under each language from a character n-gram model.  For each
 document, expectation-maximisation estimates the proportions of the languages; the set of
 languages is the one whose penalised likelihood is highest; with that set fixed, the best
-sequence of stretches follows from dynamic programming over the words.
+sequence of stretches follows from dynamic programming over the words.  The confidence of a
+stretch is the share that the expectation step gives its language over its words, and text
+that is unlikely under every language is reported as in none of them.
 
 All steps work on the code points of a whole Arrow batch at once.
 """
@@ -33,7 +35,12 @@ WORD_LIMIT = 4.0
 NAME_WEIGHT = 0.35
 #: Nats that a further language of a document costs, and each change of language.
 LANGUAGE_COST, SWITCH_COST = 9.0, 4.0
-EM_ROUNDS = 6
+EM_ROUNDS = 8
+#: Code of text in none of the languages, and the mean log-likelihood of a character below which text of so many characters is that.
+UNKNOWN, LEAST_LIKELY, LEAST_CHARACTERS = "und", -4.7, 20
+#: Characters that a language must have been fitted on before text can be too unlikely for it.  Chinese is told by its script alone.
+LEAST_FITTED = 20_000
+CODES = (*LANGUAGES, UNKNOWN)
 #: Documents with fewer words (characters of Chinese) get no language from `found`.
 LEAST_WORDS = 8
 
@@ -173,18 +180,24 @@ class Model:
     """Character trigram likelihoods of each language, smoothed towards an even guess."""
 
     def __init__(self, tri: np.ndarray, bi: np.ndarray) -> None:
+        self.judges = np.zeros(len(LANGUAGES), bool)
         self.tri, self.bi = np.log(tri + 0.02).astype(np.float32), np.log(bi + 0.02 * 60).astype(np.float32)
 
     def words(self, words: Words) -> np.ndarray:
         """Log-likelihood of each word under each language, relative to the best one, limited and weighted."""
+        return self.likelihoods(words)[0]
+
+    def likelihoods(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """words(), the log-likelihoods as they are, and the number of characters of each word (blank included)."""
         if not len(words.start):
-            return np.zeros((0, len(LANGUAGES)), np.float32)
+            none = np.zeros((0, len(LANGUAGES)), np.float32)
+            return none, none, np.zeros(0)
         three, two, word = words.grams()
         each = self.tri[three] - self.bi[two]
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         total = np.add.reduceat(each, first, axis=0)
-        total -= total.max(axis=1, keepdims=True)
-        return np.maximum(total, -WORD_LIMIT) * words.weight[:, None]
+        relative = total - total.max(axis=1, keepdims=True)
+        return np.maximum(relative, -WORD_LIMIT) * words.weight[:, None], total, np.diff(np.r_[first, len(word)])
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]], rounds: int = 3) -> Model:
@@ -212,6 +225,8 @@ class Model:
             picked = Words(all_words.codes, all_words.start[chosen], all_words.end[chosen], all_words.text[chosen], all_words.base, all_words.weight[chosen], all_words.chinese[chosen])
             tri, bi = cls._count(picked, best[picked.text])
             model = cls(tri + counts[0], bi + counts[1])
+            fitted = np.bincount(best[picked.text], picked.end - picked.start + 1, len(LANGUAGES))
+            model.judges = (fitted >= LEAST_FITTED) & (np.array(LANGUAGES) != "zh")
         return model
 
     @staticmethod
@@ -226,8 +241,8 @@ class Model:
         return tri / scale, bi / scale
 
 
-def proportions(scores: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Expectation-maximisation of each document's language proportions, all documents of a batch at once."""
+def proportions(scores: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation of each document's language proportions, all documents of a batch at once; and of each word the posterior at the end."""
     k = scores.shape[1]
     like = np.exp(scores)
     share = np.full((len(first), k), 1.0 / k, np.float32)
@@ -237,7 +252,7 @@ def proportions(scores: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.
         post /= post.sum(axis=1, keepdims=True)
         share = np.add.reduceat(post, first, axis=0) / sizes[:, None]
         share = np.maximum(share, 1e-4)
-    return share
+    return share, post
 
 
 def _stretches(scores: np.ndarray, languages: tuple[int, ...]) -> tuple[float, list[int]]:
@@ -345,16 +360,23 @@ def analyse(texts: list[str], model: Model) -> list[tuple[int, list[tuple[int, i
     out: list[tuple[int, list[tuple[int, int, int, float]]]] = [(0, [])] * len(texts)
     if not len(words.start):
         return out
-    scores = model.words(words)
+    scores, likelihood, characters = model.likelihoods(words)
     live = np.unique(words.text)
     first = np.searchsorted(words.text, live)
     sizes = np.diff(np.r_[first, len(words.text)])
     single = np.add.reduceat(scores, first, axis=0)
     weight = np.add.reduceat(words.weight, first)
-    share = proportions(scores, first, sizes)
-    top = single.argmax(axis=1)
-    gap = single[np.arange(len(live)), top]
-    order = np.sort(single, axis=1)
+    share, post = proportions(scores, first, sizes)
+    top = share.argmax(axis=1)
+    gap = single.max(axis=1)
+    counts = (words.weight > 0.5)[:, None]
+    plain, length = likelihood * counts, characters * counts[:, 0]
+    whole, whole_length = np.add.reduceat(plain, first, axis=0), np.add.reduceat(length, first)
+
+    def code(language: int, total: float, n: float) -> int:
+        unlikely = n >= LEAST_CHARACTERS and total < LEAST_LIKELY * n
+        return len(LANGUAGES) if unlikely and model.judges[language] else language
+
     for d, text in enumerate(live):
         a, b = first[d], first[d] + sizes[d]
         base = words.base[text]
@@ -363,23 +385,20 @@ def analyse(texts: list[str], model: Model) -> list[tuple[int, list[tuple[int, i
             out[text] = (n, [])
             continue
         # The best language misses nothing worth a second one: no other set can win.
-        if gap[d] > -(LANGUAGE_COST + SWITCH_COST):
-            path = None
-        else:
+        path = None
+        if gap[d] <= -(LANGUAGE_COST + SWITCH_COST):
             path = choose(scores[a:b], share[d], single[d])
-            if len(set(path)) == 1:
-                path = None
-        if path is None:
-            margin = float(order[d, -1] - order[d, -2])
-            out[text] = (n, [(int(words.start[a] - base), int(words.end[b - 1] - base), int(top[d]), 1.0 / (1.0 + np.exp(-min(30.0, margin))))])
+        if path is None or len(set(path)) == 1:
+            language = int(top[d]) if path is None else path[0]
+            out[text] = (n, [(int(words.start[a] - base), int(words.end[b - 1] - base), code(language, float(whole[d, language]), float(whole_length[d])), float(share[d, language]))])
             continue
         cuts = [0, *[i for i in range(1, n) if path[i] != path[i - 1]], n]
         spans = []
         for i, j in zip(cuts, cuts[1:], strict=False):
-            part = np.sort(scores[a + i : a + j].sum(axis=0))
-            own = float(scores[a + i : a + j, path[i]].sum())
-            margin = own - float(part[-2] if own >= part[-1] else part[-1])
-            spans.append((int(words.start[a + i] - base), int(words.end[a + j - 1] - base), path[i], 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, margin))))))
+            part, language = slice(a + i, a + j), path[i]
+            # Numbers and codes say nothing; a stretch without words of full weight has the share of its document.
+            sure = float(np.average(post[part, language], weights=words.weight[part])) if words.weight[part].any() else float(share[d, language])
+            spans.append((int(words.start[a + i] - base), int(words.end[a + j - 1] - base), code(language, float(plain[part, language].sum()), float(length[part].sum())), sure))
         out[text] = (n, spans)
     return out
 
@@ -394,7 +413,7 @@ def fit_sample(table: DataFrame, *, id_column: str, text_column: str, label_colu
 def identify(table: DataFrame, *, id_column: str = "row_id", text_column: str = "comment_text", label_column: str = "language", fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row for each stretch: (row_id, label, n_words, n_languages, seg_no, start_pos, end_pos, lang_code, confidence).
 
-    `label` is the code that the given label names, null if none.  A document in one language has one row with
+    `label` is the code that the given label names, null if none.  lang_code is `und` for text in none of the languages.  A document in one language has one row with
     seg_no 0; a mixed one has seg_no 1, 2, ... in text order.  Null, blank and wordless texts give no row; repeated
     rows each give their rows; null ids stay null; extra columns are ignored; an empty table gives an empty table.
     The model is fitted on a bounded labelled sample (fit_rows a language); every document is then identified
@@ -414,7 +433,7 @@ def identify(table: DataFrame, *, id_column: str = "row_id", text_column: str =
                     used = len({s[2] for s in spans})
                     for no, (a, b, language, sure) in enumerate(spans, 1):
                         row.append(k)
-                        for column, value in zip(columns, (n, used, no if len(spans) > 1 else 0, a, b, LANGUAGES[language], float(sure)), strict=False):
+                        for column, value in zip(columns, (n, used, no if len(spans) > 1 else 0, a, b, CODES[language], float(sure)), strict=False):
                             column.append(value)
             at = pa.array(row, pa.int64())
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())

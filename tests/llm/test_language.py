@@ -79,3 +79,22 @@ def test_choose_is_the_best_of_all_sets():
         value = scores[np.arange(len(own)), path].sum() - la.SWITCH_COST * sum(a != b for a, b in zip(path, path[1:], strict=False)) - la.LANGUAGE_COST * (len(set(path)) - 1)
         wanted = max(la._stretches(scores, c)[0] - la.LANGUAGE_COST * (size - 1) for size in range(1, 8) for c in combinations(range(7), size))
         assert abs(value - wanted) < 1e-3
+
+
+def test_text_in_none_of_the_languages(folder):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{folder.replace('sf0.001', 'sf0.01')}/synthetic_theme_benchmark.parquet", columns=["comment_text"]).column(0).to_pylist()
+    rows = [t for t in rows if t and len(t) > 40]
+    model = la.Model.fit([(t, "en") for t in rows])
+    foreign = ["Дети каждое утро ждут автобус, и никто не объясняет нам, почему он снова опаздывает.", "Lapset odottavat bussia joka aamu eikä kukaan selitä meille miksi se on taas myöhässä."]
+    assert [spans[0][2] for _, spans in la.analyse(foreign, model)] == [la.CODES.index(la.UNKNOWN)] * 2
+    known = [spans for _, spans in la.analyse(rows, model) if spans]
+    assert sum(s[2] == la.CODES.index(la.UNKNOWN) for spans in known for s in spans) <= 0.001 * len(known)
+
+
+def test_confidence_is_the_share_of_the_expectation_step():
+    model = la.Model.fit([])
+    (_, one), (_, two) = la.analyse([EN, f"{EN} {ES}"], model)
+    assert len(one) == 1 and one[0][3] > 0.9
+    assert [la.CODES[s[2]] for s in two] == ["en", "es"] and all(0.8 < s[3] <= 1 for s in two)
