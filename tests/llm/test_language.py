@@ -96,5 +96,5 @@ def test_text_in_none_of_the_languages(folder):
 def test_confidence_is_the_share_of_the_expectation_step():
     model = la.Model.fit([])
     (_, one), (_, two) = la.analyse([EN, f"{EN} {ES}"], model)
-    assert len(one) == 1 and one[0][3] > 0.9
-    assert [la.CODES[s[2]] for s in two] == ["en", "es"] and all(0.8 < s[3] <= 1 for s in two)
+    assert len(one) == 1 and one[0][3] > 0.8
+    assert [la.CODES[s[2]] for s in two] == ["en", "es"] and all(0.6 < s[3] <= 1 for s in two)
