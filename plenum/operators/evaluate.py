@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EvaluationError
@@ -71,6 +72,61 @@ def hash_sample(df: DataFrame, n: int, *, key: str, seed: str = "plenum") -> Dat
     return df.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"), 256), key).limit(n)
 
 
+def reservoir_sample(df: DataFrame, n: int, *, key: str, seed: int, stratum: str | None = None) -> DataFrame:
+    """n rows (of each stratum) by a reservoir: every row draws a number from seed and key, the n smallest stay.
+
+    Each task keeps a reservoir of its own before they are merged; the draw depends on the row alone, so the sample is
+    the same whatever the partitioning.
+    """
+    if isinstance(n, bool) or not isinstance(n, int) or n < 1:
+        raise EvaluationError("The sample size must be a whole number of at least 1.")
+    draw = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    if stratum is None:
+        return df.orderBy(draw, key).limit(n)
+    ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(stratum).orderBy(draw, key)))
+    return ranked.where(F.col("__k") <= n).drop("__k")
+
+
+def concatenated(corpora: Mapping[str, DataFrame], *, column: str = "corpus") -> DataFrame:
+    """All corpora below each other with the name of each in a column; columns that one lacks are null there."""
+    if not corpora:
+        raise EvaluationError("There is no corpus.")
+    named = [df.withColumn(column, F.lit(name)) for name, df in corpora.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def compare_groupings(df: DataFrame, truth: str, methods: Sequence[str]) -> DataFrame:
+    """(method, n, n_groups, largest, ari): each grouping (a column of labels) held against the truth."""
+
+    def one(method: str) -> DataFrame:
+        sizes = df.where(F.col(method).isNotNull()).groupBy(method).agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.max("k"), F.lit(0)).alias("largest"))
+        return adjusted_rand(df, truth, method).join(sizes).select(F.lit(method).alias("method"), "n", "n_groups", "largest", "ari")
+
+    return reduce(DataFrame.unionByName, map(one, methods))
+
+
+def moved_rows(df: DataFrame, before: str, after: str) -> DataFrame:
+    """(before, after, n) of the rows whose group changed between two methods."""
+    return df.where(~F.col(before).eqNullSafe(F.col(after))).groupBy(F.col(before).alias("before"), F.col(after).alias("after")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def redaction_report(df: DataFrame, *, redacted: str, planted: str) -> DataFrame:
+    """One row (n_rows, n_planted, removed, partly_left, left_whole) of planted names (an array column) and what the redacted text keeps of them."""
+    names = df.select(F.col(redacted).alias("t"), F.explode(planted).alias("name")).where(F.trim("name") != "")
+    low = F.lower("t")
+    words = F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(F.regexp_replace(w, r"\P{L}", "")) > 1)
+    kept = F.size(F.filter(words, lambda w: F.array_contains(F.split(low, r"[^\p{L}'’-]+"), w)))
+    whole = F.contains(low, F.lower("name"))
+    agg = names.agg(F.count(F.lit(1)).alias("n_planted"), F.count_if(~whole & (kept == 0)).alias("removed"), F.count_if(~whole & (kept > 0)).alias("partly_left"), F.count_if(whole).alias("left_whole"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).join(agg)
+
+
+def priorities(groups: DataFrame, chosen: DataFrame, *, key: str = "question_group_id", rank: str = "rank", top: int = 10) -> DataFrame:
+    """One row (n_chosen, n_known, in_top, mean_rank): how the groups that reviewers chose stand in a ranking."""
+    found = chosen.select(F.col(key)).distinct().join(groups.select(key, rank), key, "left")
+    return found.agg(F.count(F.lit(1)).alias("n_chosen"), F.count(rank).alias("n_known"), F.count_if(F.col(rank) <= top).alias("in_top"), F.avg(rank).alias("mean_rank"))
+
+
 def systematic_sample(df: DataFrame, n: int, *, position: str = POSITION) -> DataFrame:
     """n rows at even distances of a 0-based position."""
     total = df.count()

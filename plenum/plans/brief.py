@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import textwrap
 import unicodedata
 import zipfile
 from xml.sax.saxutils import escape
@@ -101,3 +102,42 @@ def docx_bytes(brief: dict[str, object]) -> bytes:
         for name, content in parts.items():
             book.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + content)
     return out.getvalue()
+
+
+def _pdf_lines(brief: dict[str, object], width: int = 88) -> list[tuple[str, str]]:
+    out: list[tuple[str, str]] = []
+    for style, text in paragraphs(brief):
+        out += [(style, line) for line in textwrap.wrap(text, width if style == "text" else width // 2) or [""]]
+        out.append(("gap", ""))
+    return out
+
+
+def pdf_bytes(brief: dict[str, object]) -> bytes:
+    """The brief as a PDF of A4 pages in a built-in font, made with the standard library alone.
+
+    Characters that the font lacks are shown as question marks; the document and the Markdown have them.
+    """
+    size = {"title": 18, "heading": 13, "text": 10, "gap": 6}
+    pages: list[list[str]] = [[]]
+    y = 800
+    for style, line in _pdf_lines(brief):
+        step = int(size[style] * 1.4)
+        if y - step < 40:
+            pages.append([])
+            y = 800
+        y -= step
+        shown = line.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").decode("cp1252")
+        if shown:
+            pages[-1].append(f"BT /F{1 if style == 'text' else 2} {size[style]} Tf 50 {y} Td ({shown}) Tj ET")
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{5 + 2 * i} 0 R' for i in range(len(pages)))}] >>"]
+    objects += [f"<< /Type /Font /Subtype /Type1 /BaseFont /{name} /Encoding /WinAnsiEncoding >>" for name in ("Helvetica", "Helvetica-Bold")]
+    for i, page in enumerate(pages):
+        content = "\n".join(page)
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents {6 + 2 * i} 0 R >>")
+        objects.append(f"<< /Length {len(content.encode('cp1252'))} >>\nstream\n{content}\nendstream")
+    out, places = b"%PDF-1.4\n", []
+    for k, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += f"{k} 0 obj\n{body}\nendobj\n".encode("cp1252")
+    table = "".join(f"{p:010d} 00000 n \n" for p in places)
+    return out + f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()
