@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +20,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: inside a lambda an expression would be evaluated again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: Column) -> Column:
     """The vector at length one; null if it is null, not finite or shorter than 1e-12."""
-    length = norm(v)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad & (length > 1e-12), F.transform(v, lambda x: x / length))
+
+    def scaled(w: Column) -> Column:
+        bad = F.exists(w, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        return _bound(norm(w), lambda length: F.when(~bad & (length > 1e-12), F.transform(w, lambda x: x / length)))
+
+    return _bound(v, scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, redaction, text, vectors
 from .operators import affect, clean, evaluate, gaps, questions, themes, timeline
+from .operators.graph import checkpointed
 from .plans import brief, export
 from .schema import EMOTIONS, POSITION, SENTIMENTS
 from .sources import synthetic, tables
@@ -45,6 +47,30 @@ def _r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+# The word lists of the SQL are its own: a slip in the package's lists shows as a difference.
+_SQL_CONTACT = "contact at or i live email me us call on my address is".split()
+_SQL_WH = "who whom whose what which when where why how".split()
+_SQL_AUXILIARIES = "am is are was were do does did have has had can could shall should will would may might must".split()
+_SQL_GATE = {
+    "en": "the of and to in is that for it was on are as with at be this from have not but what all were when we there can an your which their will about how if do does my our us why please".split(),
+    "es": "el la de que y en los las del se por con para una su al lo como pero ya está más no un es mi nos si".split(),
+    "pt": "de que e do da em um para com não uma os no se na por mais as dos como mas foi ao ele são já é meu".split(),
+    "pl": "w z na się nie do to że o jak za po co ale od już czy tak przez jest są dla my przed".split(),
+}
+_SQL_TONE = {
+    "positive": "good great thank thanks grateful helpful encouraged relieved hopeful support safe love like better best happy improve improved welcome appreciate works clear".split(),
+    "negative": "bad angry tired baffled ignored worn unsafe broken late missing lost slow worse worst unhappy fail failed fails crisis cut closed afraid sad unconvinced overwhelmed".split(),
+    "anger": "angry furious ignored outraged unfair".split(),
+    "disgust": "disgusting filthy shameful gross".split(),
+    "fear": "afraid unsafe scared worried danger dangerous".split(),
+    "joy": "happy love grateful glad relieved encouraged hopeful thank thanks".split(),
+    "sadness": "sad tired lost worn lonely cry".split(),
+    "surprise": "surprised unexpected suddenly baffled".split(),
+}
+# The stop list is an input file of both.
+_SQL_STOP = [w for line in pkgutil.get_data("plenum.operators", "stop_words.txt").decode("utf-8").splitlines() if line[0] != "#" for w in line.split(" ")]
+
+
 # SQL of the white space that strip() and squeeze() know, and of common expressions.
 _WS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
@@ -163,7 +189,7 @@ _SPLIT = r"string_split(regexp_replace({x}, '([.!?])[ \t\n\x0b\f\r]+', '\1' || c
 
 
 @_query(f"""SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(list_filter({_SPLIT.format(x="m")}, lambda s: NOT (regexp_matches(s, '{_MARK}') AND
-len(list_filter(regexp_extract_all(lower(regexp_replace(s, '{_MARK}', ' ', 'g')), '\\p{{L}}+'), lambda w: NOT list_contains({_list(text.CONTACT_WORDS)}, w))) = 0)), lambda s: regexp_replace(s, '{_MARK}', ' ', 'g')), ' '), '{_WS}+', ' ', 'g')) AS analysis_text
+len(list_filter(regexp_extract_all(lower(regexp_replace(s, '{_MARK}', ' ', 'g')), '\\p{{L}}+'), lambda w: NOT list_contains({_list(_SQL_CONTACT)}, w))) = 0)), lambda s: regexp_replace(s, '{_MARK}', ' ', 'g')), ' '), '{_WS}+', ' ', 'g')) AS analysis_text
 FROM (SELECT doc_id, {_MASK.format(x="text")} AS m FROM documents)""")
 def analysis_text(spark, folder):  # noqa: ANN001, ANN201
     """Contact boilerplate removed after masking."""
@@ -205,7 +231,7 @@ _FIRST = r"lower(regexp_extract(regexp_replace(tt, '^[ \t\n\x0b\f\r]*(?:(?:\d+[.
 _QUESTION = f"""{_SENT},
 q0 AS (SELECT *, {_strip("text")} AS tt FROM s),
 q1 AS (SELECT *, ends_with(regexp_replace(tt, '["''”’)\\]}} ]+$', ''), '?') AS mark, {_FIRST} AS first_word FROM q0),
-q AS (SELECT row_id, sentence_index, text, CASE WHEN NOT regexp_matches(tt, '\\p{{L}}') THEN '' ELSE concat_ws(',', CASE WHEN mark THEN 'question_mark' END, CASE WHEN list_contains({_list(text.WH_WORDS)}, first_word) THEN 'wh_word' WHEN list_contains({_list(text.AUXILIARIES)}, first_word) THEN 'auxiliary' END) END AS reasons FROM q1)"""
+q AS (SELECT row_id, sentence_index, text, CASE WHEN NOT regexp_matches(tt, '\\p{{L}}') THEN '' ELSE concat_ws(',', CASE WHEN mark THEN 'question_mark' END, CASE WHEN list_contains({_list(_SQL_WH)}, first_word) THEN 'wh_word' WHEN list_contains({_list(_SQL_AUXILIARIES)}, first_word) THEN 'auxiliary' END) END AS reasons FROM q1)"""
 
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -324,7 +350,7 @@ def density_themes(spark, folder):  # noqa: ANN001, ANN201
 
 _ALNUM = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]+"
 _TERMS = f"""
-w AS (SELECT doc_id, source, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{_ALNUM}'), lambda x: regexp_full_match(x, '\\p{{L}}{{3,}}') AND NOT regexp_full_match(x, 'x+') AND NOT list_contains({_list(themes.STOP_WORDS)}, x)) AS w FROM documents),
+w AS (SELECT doc_id, source, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{_ALNUM}'), lambda x: regexp_full_match(x, '\\p{{L}}{{3,}}') AND NOT regexp_full_match(x, 'x+') AND NOT list_contains({_list(_SQL_STOP)}, x)) AS w FROM documents),
 g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM w),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
 st AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 5000),
@@ -363,12 +389,12 @@ def theme_quotes(spark, folder):  # noqa: ANN001, ANN201
 
 
 _TOKENS = f"tk AS (SELECT row_id, ward, role, received_at, {_strip('comment_text')} AS t, list_distinct(regexp_extract_all(lower({_strip('comment_text')}), '\\p{{L}}+')) AS tok FROM synthetic_theme_benchmark)"
-_GATE = ", ".join(f"{_hits(w)} AS h_{c}" for c, w in affect.STOP_WORDS.items())
-_EMO = ", ".join(f"{_hits(affect.LEXICON[e])} + 0.1 AS e_{e}" if e != "neutral" else "1.0 AS e_neutral" for e in EMOTIONS)
+_GATE = ", ".join(f"{_hits(w)} AS h_{c}" for c, w in _SQL_GATE.items())
+_EMO = ", ".join(f"{_hits(_SQL_TONE[e])} + 0.1 AS e_{e}" if e != "neutral" else "1.0 AS e_neutral" for e in EMOTIONS)
 _TOP = "greatest(" + ", ".join(f"e_{e}" for e in EMOTIONS) + ")"
 _AFFECT = f"""{_TOKENS},
-h AS (SELECT *, {_GATE}, {_hits(affect.LEXICON["negative"])} + 0.25 AS neg, {_hits(affect.LEXICON["positive"])} + 0.25 AS pos, {_EMO}, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS letters FROM tk),
-lg AS (SELECT *, CASE WHEN letters < 3 OR h_en + h_es + h_pt + h_pl = 0 THEN 'unknown' {" ".join(f"WHEN h_{c} >= 0.8 * (h_en + h_es + h_pt + h_pl) THEN '{c}'" for c in affect.STOP_WORDS)} ELSE 'unknown' END AS language FROM h),
+h AS (SELECT *, {_GATE}, {_hits(_SQL_TONE["negative"])} + 0.25 AS neg, {_hits(_SQL_TONE["positive"])} + 0.25 AS pos, {_EMO}, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS letters FROM tk),
+lg AS (SELECT *, CASE WHEN letters < 3 OR h_en + h_es + h_pt + h_pl = 0 THEN 'unknown' {" ".join(f"WHEN h_{c} >= 0.8 * (h_en + h_es + h_pt + h_pl) THEN '{c}'" for c in _SQL_GATE)} ELSE 'unknown' END AS language FROM h),
 st AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN language = 'en' THEN 'scored' ELSE 'excluded_language' END AS status FROM lg),
 a AS (SELECT row_id, ward, role, received_at, t, language, status, CASE WHEN status = 'scored' THEN CASE WHEN neg >= 1 AND neg >= pos THEN 'negative' WHEN 1 >= pos THEN 'neutral' ELSE 'positive' END END AS sentiment,
 CASE WHEN status = 'scored' THEN CASE {" ".join(f"WHEN e_{e} = {_TOP} THEN '{e}'" for e in EMOTIONS)} END END AS emotion,
@@ -480,7 +506,9 @@ def _safe(x: str) -> str:
 
 @_query(f"""WITH {_QUESTION}, {_AFFECT.replace("q AS", "qq AS")}, qc AS (SELECT row_id, count(*) AS c, string_agg(DISTINCT reasons, ';' ORDER BY reasons) AS g FROM q WHERE reasons <> '' GROUP BY 1), rd AS (SELECT row_id, {_MASK.format(x="comment_text")} AS m FROM synthetic_theme_benchmark)
 SELECT a.row_id + 1 AS cleaned_comment_number, {_safe("rd.m")} AS redacted_comment, ward AS theme_id, CASE WHEN coalesce(ward, 0) = 0 THEN '' ELSE 'Ward ' || ward END AS theme_label, CASE WHEN ward IS NULL THEN 'excluded' WHEN ward = 0 THEN 'ungrouped' ELSE 'assigned' END AS theme_status,
-coalesce(sentiment, '') AS sentiment, coalesce(emotion, '') AS emotion, round(score, 6) AS sentiment_score, status AS affect_status, false AS affect_truncated, coalesce(c, 0) AS question_count, coalesce(g, '') AS question_group_ids
+coalesce(sentiment, '') AS sentiment, coalesce(emotion, '') AS emotion, round(score, 6) AS sentiment_score, status AS affect_status, false AS affect_truncated, coalesce(c, 0) AS question_count, coalesce(g, '') AS question_group_ids,
+{", ".join(f"round(CASE WHEN status = 'scored' THEN {p} END, 6) AS sentiment_{k}_probability" for k, p in (("negative", "pn"), ("neutral", "pz"), ("positive", "pp")))},
+round(CASE WHEN status = 'scored' THEN list_sort([pn, pz, pp], 'DESC')[1] - list_sort([pn, pz, pp], 'DESC')[2] END, 6) AS sentiment_score_gap
 FROM a JOIN rd ON a.row_id = rd.row_id LEFT JOIN qc ON qc.row_id = a.row_id""")
 def labeled_export(spark, folder):  # noqa: ANN001, ANN201
     """The labelled table with formula-like text made safe (wards stand for themes, reasons for question groups here)."""
@@ -494,8 +522,7 @@ def labeled_export(spark, folder):  # noqa: ANN001, ANN201
     counts = found.groupBy(POSITION).agg(F.count(F.lit(1)).alias("question_count"))
     groups = found.select(POSITION, F.array_join("reasons", ",").alias("question_group_id"))
     table = export.labelled(comments, assignments=assignments, themes=named, affect=_affect(spark, folder), question_counts=counts, question_groups=groups)
-    wide = table.drop(*[f"sentiment_{k}_probability" for k in SENTIMENTS], "sentiment_score_gap").withColumn("sentiment_score", _r("sentiment_score"))
-    return sinks.guard_strings(wide)
+    return sinks.guard_strings(table.withColumns({c: _r(c) for c in ("sentiment_score", *[f"sentiment_{k}_probability" for k in SENTIMENTS], "sentiment_score_gap")}))
 
 
 _CODE = "CASE lower(trim(language)) " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in (("english", "en"), ("en", "en"), ("eng.", "en"), ("en-us", "en"), ("inglés", "en"), ("spanish", "es"), ("es", "es"), ("español", "es"), ("castellano", "es"), ("polish", "pl"), ("pl", "pl"), ("polski", "pl"), ("portuguese", "pt"), ("pt-br", "pt"), ("português", "pt"))) + " END"
@@ -503,20 +530,24 @@ _CODE = "CASE lower(trim(language)) " + " ".join(f"WHEN '{n}' THEN '{c}'" for n,
 
 def _labels_and_gate(spark: SparkSession, folder: str) -> DataFrame:
     rows = _benchmark(spark, folder).select(F.col("row_id").alias(POSITION), F.expr(_CODE).alias("truth"))
-    return _affect(spark, folder).where(F.col("language") != "unknown").join(rows, POSITION).select("truth", F.col("language").alias("predicted"))
+    return _affect(spark, folder).where(F.col("status") != "empty").join(rows, POSITION).select("truth", F.col("language").alias("predicted"))
 
 
-_LABELS = f"{_AFFECT}, tr AS (SELECT row_id, {_CODE} AS truth FROM synthetic_theme_benchmark), lp AS (SELECT truth, language AS predicted FROM a JOIN tr USING (row_id) WHERE language <> 'unknown' AND t <> '')"
+_LABELS = f"{_AFFECT}, tr AS (SELECT row_id, {_CODE} AS truth FROM synthetic_theme_benchmark), lp AS (SELECT truth, language AS predicted FROM a JOIN tr USING (row_id) WHERE t <> '')"
 
 
 @_query(f"WITH {_LABELS} SELECT truth, predicted, count(*) AS n FROM lp WHERE truth IS NOT NULL GROUP BY 1, 2")
 def confusion_matrix(spark, folder):  # noqa: ANN001, ANN201
+    """Every labelled comment; what the gate can't tell counts as unknown."""
     return evaluate.confusion(_labels_and_gate(spark, folder), "truth", "predicted")
 
 
-@_query(f"WITH {_LABELS} SELECT 'all' AS \"group\", count(truth) AS labelled, count(truth) AS scored, round(avg(CASE WHEN truth IS NOT NULL THEN CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END END), 6) AS agreement, coalesce(avg(CASE WHEN truth IS NOT NULL THEN CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END END) < 0.7, false) AS needs_work FROM lp")
+@_query(f"WITH {_LABELS} SELECT 'all' AS \"group\", count(truth) AS labelled, count(truth) AS scored, round(avg(CASE WHEN truth IS NOT NULL THEN CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END END), 6) AS agreement, coalesce(avg(CASE WHEN truth IS NOT NULL THEN CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END END) < 0.7, false) AS needs_work FROM lp UNION ALL SELECT 'told apart', count(truth), count(truth) FILTER (WHERE predicted <> 'unknown'), round(avg(CASE WHEN truth IS NOT NULL AND predicted <> 'unknown' THEN CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END END), 6), coalesce(avg(CASE WHEN truth IS NOT NULL AND predicted <> 'unknown' THEN CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END END) < 0.7, false) FROM lp")
 def label_agreement(spark, folder):  # noqa: ANN001, ANN201
-    return evaluate.agreement(_labels_and_gate(spark, folder), "truth", "predicted").withColumn("agreement", _r("agreement"))
+    """Agreement over all labelled comments, unknown ones as misses, and over those that the gate tells."""
+    rows = _labels_and_gate(spark, folder)
+    told = rows.withColumns({"predicted": F.when(F.col("predicted") != "unknown", F.col("predicted")), "part": F.lit("told apart")})
+    return evaluate.agreement(rows.withColumn("part", F.lit("all")).unionByName(told), "truth", "predicted", group="part").withColumn("agreement", _r("agreement"))
 
 
 @_query(f"""WITH {_QUESTION}, z AS (SELECT b.row_id, contains(coalesce(b.comment_text, ''), '?') AS truth, count(q.row_id) > 0 AS predicted FROM synthetic_theme_benchmark b LEFT JOIN (SELECT row_id FROM q WHERE reasons <> '') q ON b.row_id = q.row_id GROUP BY 1, 2),
@@ -554,15 +585,46 @@ def html_text(spark, folder):  # noqa: ANN001, ANN201
     return _table(spark, folder, "federal_sample").select("source_id", tables.html_text(F.col("comment_text")).alias("plain"))
 
 
-@_query("SELECT \"check\", true AS passed FROM (SELECT unnest(['positions_unique', 'assignments_unique', 'assignments_known', 'affect_rows_match', 'theme_volumes_match', 'period_totals_match', 'suppressed_hidden']) AS \"check\")".replace("true AS passed", "true AS passed"))
-def reconcile_checks(spark, folder):  # noqa: ANN001, ANN201
-    """Counts that must agree across the tables of one analysis."""
+_RECONCILE = f"""WITH {_PERIOD}, asg AS (SELECT row_id, coalesce(ward, 0) AS theme_id FROM a WHERE status <> 'empty'), th AS (SELECT DISTINCT theme_id FROM asg),
+vol AS (SELECT sum(k) AS n FROM (SELECT (SELECT count(*) FROM asg JOIN pd ON asg.row_id = pd.row_id WHERE pd.period = ps.period AND asg.theme_id = th.theme_id) AS k FROM ps CROSS JOIN th)),
+num AS (SELECT (SELECT count(*) FROM synthetic_theme_benchmark) AS nc, (SELECT count(DISTINCT row_id) FROM synthetic_theme_benchmark) AS np, (SELECT count(*) FROM asg) AS na, (SELECT count(DISTINCT row_id) FROM asg) AS nd,
+(SELECT count(*) FROM a) AS nf, (SELECT count(*) FROM a WHERE status <> 'empty') AS ne, (SELECT n FROM vol) AS nv, (SELECT sum(total_comments) FROM ps) AS npd)"""
+_CHECKS = ("positions_unique", "assignments_unique", "assignments_known", "affect_rows_match", "theme_volumes_match", "period_totals_match", "suppressed_hidden")
+
+
+def _checks_sql(values: str) -> str:
+    return f"{_RECONCILE} SELECT unnest({_list(_CHECKS)}) AS \"check\", unnest([{values}]) AS passed FROM num"
+
+
+def _reconciled(spark: SparkSession, folder: str, *, corrupt: bool) -> DataFrame:
     base = _benchmark(spark, folder).withColumnRenamed("row_id", POSITION)
-    periods, summary = _periods(spark, folder)
-    rows = _affect(spark, folder)
+    # The scored rows feed four of the inputs: they are worked out once.
+    rows = checkpointed(_affect(spark, folder))
+    dated = base.select(F.col(POSITION), F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("received"))
+    periods, mode, _ = timeline.with_period(dated, "received")
+    summary = timeline.period_affect(rows, periods, mode)
     assignments = base.join(rows.where(F.col("status") != "empty").select(POSITION), POSITION, "left_semi").select(POSITION, F.coalesce("ward", F.lit(0)).alias("theme_id"))
-    volumes = timeline.theme_volumes(assignments, periods.withColumnRenamed("row_id", POSITION), summary)
-    return evaluate.reconcile(comments=base, assignments=assignments, affect=rows, volumes=volumes, periods=summary, gap_rows=_gap_tables(spark, folder)[0])
+    volumes = timeline.theme_volumes(assignments, periods, summary)
+    hidden = _gap_tables(spark, folder)[0]
+    if corrupt:
+        # A row named twice, one that doesn't exist, a lost row of affect, and a hidden cell that shows its count.
+        first = assignments.orderBy(POSITION).limit(1)
+        assignments = assignments.unionByName(first).unionByName(first.withColumn(POSITION, F.lit(-7).cast("long")))
+        rows = rows.join(first.select(POSITION), POSITION, "left_anti")
+        hidden = hidden.withColumn("count", F.coalesce("count", F.lit(3).cast("long")))
+    return evaluate.reconcile(comments=base, assignments=assignments, affect=rows, volumes=volumes, periods=summary, gap_rows=hidden)
+
+
+@_query(_checks_sql("nc = np, na = nd, (SELECT count(*) FROM asg WHERE row_id NOT IN (SELECT row_id FROM synthetic_theme_benchmark)) = 0, nf = nc, nv = na, npd = ne, (SELECT count(*) FROM (SELECT CASE WHEN n < 10 THEN NULL ELSE n END AS shown, n FROM (SELECT role, count(*) AS n FROM synthetic_theme_benchmark GROUP BY 1)) WHERE n < 10 AND shown IS NOT NULL) = 0"))
+def reconcile_checks(spark, folder):  # noqa: ANN001, ANN201
+    """Counts that must agree across the tables of one analysis."""
+    return _reconciled(spark, folder, corrupt=False)
+
+
+@_query(_checks_sql("nc = np, na + 2 = nd + 1, 1 = 0, nf - 1 = nc, nv = na + 2, npd = ne - 1, 3 IS NULL"))
+def reconcile_corrupted(spark, folder):  # noqa: ANN001, ANN201
+    """The same checks over damaged tables: each damage must be seen."""
+    return _reconciled(spark, folder, corrupt=True)
 
 
 @_query("SELECT source_id, comment_text FROM federal_sample WHERE source_id IN (SELECT source_id FROM federal_sample GROUP BY 1 HAVING count(*) % 2 = 1) EXCEPT ALL SELECT source_id, comment_text FROM federal_sample WHERE false".replace("EXCEPT ALL SELECT source_id, comment_text FROM federal_sample WHERE false", ""))
