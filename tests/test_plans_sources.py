@@ -162,3 +162,69 @@ def test_evaluation(spark):
     original = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
     returned = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], "k long, v string")
     assert {(r["k"], r["reason"]) for r in evaluate.tampered(original, returned, "k", ["v"]).collect()} == {(2, "changed"), (3, "missing"), (4, "added")}
+
+
+def test_encoding_is_decided_over_the_whole_file(tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"comment\n" + b"x" * (1 << 23) + "\né".encode("cp1252"))
+    assert tables.encoding_of(path) == ("windows-1252", False)
+    path.write_bytes(b"\xef\xbb\xbf" + ("é" * (1 << 22)).encode() + b"x")
+    assert tables.encoding_of(path) == ("utf-8", True)
+    path.write_bytes("é".encode()[:1])
+    assert tables.encoding_of(path)[0] == "windows-1252"
+    path.write_bytes(b"")
+    assert tables.encoding_of(path) == ("utf-8", False)
+
+
+def test_workbook_page_chart_and_pdf():
+    data = sinks.workbook_bytes({"a & b": [["x", 1.5, None, "=A1"], ["<y>"]]})
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        sheet = book.read("xl/worksheets/s0.xml").decode()
+    assert "<f>A1</f>" in sheet and "&lt;y&gt;" in sheet and "<v>1.5</v>" in sheet
+    page = sinks.review_page("Review <1>", [{"t": "</script><b>"}])
+    assert "</script><b>" not in page and "&lt;1&gt;" in page
+    chart = sinks.line_chart({"all": [1.0, None, 2.0, 3.0]}, ["a", "b", "c", "d"], title="Tone")
+    assert chart.count("<polyline") == 2 and sinks.line_chart({}, [], title="none").startswith("<svg")
+    made = {"themes": [{"label": "A (b) \\ c", "count": 3, "share": 0.5, "quote": None}], "sentiment": {"scored": 0, "unscored": 1}, "change": None, "gaps": [], "questions": [{"text": "why?", "count": 2}] * 90}
+    pdf = brief.pdf_bytes(made)
+    assert pdf.count(b"/Type /Page ") >= 2 and b"A \\(b\\) \\\\ c" in pdf and pdf.endswith(b"%%EOF\n")
+    start = int(pdf.rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
+    assert pdf[start : start + 4] == b"xref"
+
+
+def test_gap_workbook_hides_small_groups(spark):
+    rows = spark.createDataFrame([("role", "A", 20, 0.8, 0.5, 30.0, 1.6, False), ("role", "B", None, None, 0.5, None, None, True)], "field string, group string, count long, participation_share double, reference_share double, gap_percentage_points double, representation_ratio double, suppressed boolean")
+    with zipfile.ZipFile(io.BytesIO(sinks.gap_workbook(rows))) as book:
+        sheet = book.read("xl/worksheets/s0.xml").decode()
+    assert "<f>(D2-E2)*100</f>" in sheet and ">B<" not in sheet
+
+
+def test_samples_corpora_and_limits(spark):
+    df = spark.range(500).select(F.col("id"), (F.col("id") % 3).alias("s"), F.lit("some words here").alias("comment_text"))
+    drawn = evaluate.reservoir_sample(df, 20, key="id", seed=1, stratum="s")
+    assert sorted(r["count"] for r in drawn.groupBy("s").count().collect()) == [20, 20, 20]
+    assert {r["id"] for r in drawn.collect()} == {r["id"] for r in evaluate.reservoir_sample(df.repartition(7), 20, key="id", seed=1, stratum="s").collect()}
+    assert {r["id"] for r in drawn.collect()} != {r["id"] for r in evaluate.reservoir_sample(df, 20, key="id", seed=2, stratum="s").collect()}
+    both = evaluate.concatenated({"a": df.select("id"), "b": df.select("id", "s")})
+    assert both.where("corpus = 'a' and s is not null").count() == 0 and both.count() == 1000
+    assert clean.admit(df, rows=500, characters=7500) is df
+    with pytest.raises(IngestError):
+        clean.admit(df, rows=499, characters=7500)
+    assert clean.median_words(df, column="comment_text").first()["median_words"] == 3.0
+    assert clean.median_words(df.limit(0), column="comment_text").first()["is_short"] is False
+
+
+def test_positions_follow_the_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 100_003).alias("source_order")).repartition(5)
+    for parts in (1, 3, 50):
+        got = [r["row_position"] for r in clean.with_positions(df, parts=parts).orderBy("source_order").collect()]
+        assert got == list(range(1000))
+    assert clean.with_positions(df.limit(0)).count() == 0
+
+
+def test_stages_of_the_analysis(spark):
+    rows = [(k, f"The bus of ward {k % 4} is late again and nobody answers the phone number {k}.") for k in range(12)]
+    seen = []
+    mapped = clean.map_columns(spark.createDataFrame(rows, "n long, c string"), comment="c", order="n")
+    found = analysis.analyse(mapped, analysis.Options(progress=seen.append, theme_count=2))
+    assert seen == list(analysis.STAGES) and found.comments.count() == 12

@@ -72,3 +72,26 @@ def test_redact_column_counts(spark):
 def test_html():
     assert html_to_text("<p>First &amp; second</p><p>Third</p>") == "First & second Third"
     assert html_to_text(None) == ""
+
+
+def test_union_of_spans_equals_brute_force():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 9), rng.choice("ABC")) for a in (rng.randrange(30) for _ in range(rng.randrange(9)))]
+        covered = {k for a, b, _ in spans for k in range(a, b)}
+        joined = {k for a, b, _ in spans for k in range(a + 1, b)}
+        got = redaction.merge(spans)
+        assert {k for a, b, _ in got for k in range(a, b)} == covered
+        # Two neighbours are in one union only if a span goes across.
+        assert {k for a, b, _ in got for k in range(a + 1, b)} == joined
+        for a, b, kind in got:
+            inside = [s for s in spans if a <= s[0] and s[1] <= b]
+            assert kind == min(inside, key=lambda s: (s[0] - s[1], s[0]))[2] or max(y - x for x, y, _ in inside) == max(y - x for x, y, t in inside if t == kind)
+
+
+def test_question_openings(spark):
+    assert one(spark, "3) “Where is it", text.question_reasons) == ["wh_word"]
+    assert one(spark, "- ('Does it run", text.question_reasons) == ["auxiliary"]
+    assert one(spark, "Is it?\"') ]", text.question_reasons) == ["question_mark", "auxiliary"]
