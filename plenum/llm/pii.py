@@ -123,7 +123,7 @@ def _tokens_of(text: str) -> re.Pattern:
 
 # Where the way of writing may change: after closing marks and line breaks.
 _SEGMENT = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
-_SHORT = re.compile(r"(?:^|[\s(.])(?:[a-z]|st|dr|mrs?|ms|rev|ave?|rd|ct|ln|blvd|apt|ste|ext|vs|no|nos|approx|eg|ie|jan|feb|mar|apr|aug|sept?|oct|nov|dec|sra?|dra|núm|ej|ul|os|al|np|nr|ok|godz|dyr)\.\s*$", re.I)
+_SHORT = re.compile(r"(?:^|[\s(.'\"“‘])(?:[a-z]|st|dr|mrs?|ms|rev|ave?|rd|ct|ln|blvd|apt|ste|ext|vs|no|nos|approx|eg|ie|jan|feb|mar|apr|aug|sept?|oct|nov|dec|sra?|dra|núm|ej|ul|os|al|np|nr|ok|godz|dyr)\.\s*$", re.I)
 _DOTS = re.compile(r"(?:\.\.|…)\s*$")
 #: Marks of a word in a stretch without capitals, and in one of capitals only.
 LOWER, UPPER = "\x01", "\x02"

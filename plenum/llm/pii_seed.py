@@ -171,6 +171,8 @@ Welcome to {place}, said the {noun} on the bus.
 Mrs. {place} Primary is not a person here, said the {body}.
 The {eponym} pool opens at {time}.
 They said "not yet" and "no, not now" and closed {code}.
+The {noun} at {place} said 'wait. not now.' and closed {code}.
+They answered 'no. come back later.' and {noun} left {place}.
 I am quietly hopeful about {thing}, and so is the {body}.
 Several {noun} near {place} {school} waited {n} minutes.
 Half of the {noun} at {place} never read {code}.
@@ -282,7 +284,11 @@ Kiedy wreszcie ktoś zdecyduje kupić zeszyty w {place}, skoro jest {d4} skarg?"
 请{place}加一位心理老师，还有一位体育老师。
 {P}老师说{place}的实验室空着。
 {P}女士{when}在{place}发言，{P}没有来。
-我们的班主任老师和校长先生都没有回答。""",
+我们的班主任老师和校长先生都没有回答。
+{place}的老师说没有人回答。
+{place}已经等了{n}天，{place}学校也一样。
+邻居们和夜班的父母在{place}等了{n}天。
+几位祖母在{place}说{n}路车不来。""",
     "hi": """मेरा नाम {P} है और मैं {place} के {n} परिवारों की ओर से बोल रहा हूँ।
 श्री {P} ने {place} में बात की।
 मुझसे {T} पर या {E} पर संपर्क करें, {place} केंद्र।
@@ -296,6 +302,8 @@ Kiedy wreszcie ktoś zdecyduje kupić zeszyty w {place}, skoro jest {d4} skarg?"
 मुझे समझ नहीं आता कि {place} में {d4} रुपये बचने पर भी बच्चे देर से पहुँचते हैं।
 {place} से {d4} शिकायतें आ चुकी हैं, आप कब कहेंगे कि कापियाँ खरीदें?
 {place} में दादा-दादी बंद लिफ्ट झेल रहे हैं और हमारा काम छूटता है, मैंने {n} बार गिना।
+कुछ {noun} {noun} ने {place} में {noun} की।
+कृपया {place} में {noun} {noun} करें।
 नए छात्र ने {place} में बात की और अभिभावक ने फाटक के बारे में पूछा।
 परीक्षा से पहले मैंने {place} में {n} लोगों को किताबों की कमी पर बात करते सुना।""",
     "ar": """اسمي {P} وأتحدث باسم {n} أسرة في {place}.
@@ -313,6 +321,11 @@ Kiedy wreszcie ktoś zdecyduje kupić zeszyty w {place}, skoro jest {d4} skarg?"
 لا أفهم لماذا نخسر ساعات العمل في {place} مع بقاء {d4} دينار.
 في مدرسة {place} يعاني السائقون من الممر الضيق ولذلك تمتلئ الصفوف، وقد عددتها {n} مرة.
 {when} رأيت في {place} {n} شخصا يتحدثون عن نقص الكتب.
+نرجو {noun} {noun} في {place}.
+نرجو {noun} {noun} {noun} في {place} قبل اليوم {n}.
+متى سيتم {noun} {noun} في {place}؟
+متى سيتم {noun} {noun} {noun} في {place} وقد وصلت {d4} شكوى؟
+قال د. {noun} في {place} إن {noun} {noun}.
 نرجو ترجمة المنشور في {place}.
 نرجو فتح الباب الخلفي في {place} وشراء المقاعد.
 متى سيتم شراء الدفاتر في {place}؟
@@ -456,7 +469,7 @@ class _Fill:
         if self.language == "pl":
             return self.word() + ("-" + self.word() if r.random() < 0.6 else "")
         if self.language == "zh":
-            return self.han(r.randint(2, 3))
+            return self.han(2) + (self.pick("东西南北上下前后里外中新") if r.random() < 0.5 else self.han(r.randint(0, 1)))
         if self.language == "hi":
             return (f"{self.hindi(r.randint(2, 4))} " if r.random() < 0.5 else "") + self.hindi(r.randint(3, 6)) + ("-" + self.hindi(r.randint(3, 6)) if r.random() < 0.5 else "")
         if self.language == "ar":
@@ -479,7 +492,7 @@ class _Fill:
         digits = {"d1": 1, "d3": 3, "d4": 4}
         if name in digits:
             return "".join([r.choice("123456789"), *(r.choice("0123456789") for _ in range(digits[name] - 1))])
-        plain = {"n": lambda: str(r.randrange(1, 400)), "h": lambda: str(r.randrange(6, 20)), "m": lambda: f"{r.randrange(0, 60, 5):02d}", "time": lambda: f"{r.randrange(6, 12)}:{r.randrange(0, 60, 5):02d} {self.pick(['a.m.', 'p.m.', 'AM', 'am'])}", "date": lambda: f"{self.pick(_MONTHS)} {r.randrange(1, 29)}", "money": lambda: self.pick([f"${r.randrange(1, 99)},{r.randrange(100, 999)}.{r.randrange(10, 99)}", f"${r.randrange(100, 999)}.{r.randrange(10, 99)}", f"${r.randrange(1, 9)}.{r.randrange(0, 9)} million"]), "code": lambda: f"{self.pick(['form', 'item', 'memo', 'plan', 'route', 'line'])} {self.pick(LETTERS)}-{r.randrange(100, 9999)}", "do": lambda: self.pick(_DO), "body": lambda: self.pick(_BODY), "school": lambda: self.pick(_SCHOOL), "idword": lambda: self.pick(_IDWORD), "thing": lambda: self.pick(_THING[self.language]), "when": lambda: self.pick(_WHEN[self.language]), "noun": lambda: self.word() + self.pick(["s", "ers", "ing", ""])}
+        plain = {"n": lambda: str(r.randrange(1, 400)), "h": lambda: str(r.randrange(6, 20)), "m": lambda: f"{r.randrange(0, 60, 5):02d}", "time": lambda: f"{r.randrange(6, 12)}:{r.randrange(0, 60, 5):02d} {self.pick(['a.m.', 'p.m.', 'AM', 'am'])}", "date": lambda: f"{self.pick(_MONTHS)} {r.randrange(1, 29)}", "money": lambda: self.pick([f"${r.randrange(1, 99)},{r.randrange(100, 999)}.{r.randrange(10, 99)}", f"${r.randrange(100, 999)}.{r.randrange(10, 99)}", f"${r.randrange(1, 9)}.{r.randrange(0, 9)} million"]), "code": lambda: f"{self.pick(['form', 'item', 'memo', 'plan', 'route', 'line'])} {self.pick(LETTERS)}-{r.randrange(100, 9999)}", "do": lambda: self.pick(_DO), "body": lambda: self.pick(_BODY), "school": lambda: self.pick(_SCHOOL), "idword": lambda: self.pick(_IDWORD), "thing": lambda: self.pick(_THING[self.language]), "when": lambda: self.pick(_WHEN[self.language]), "noun": lambda: self.arabic(r.randint(3, 7)) if self.language == "ar" else self.hindi(r.randint(2, 4)) if self.language == "hi" else self.word() + self.pick(["s", "ers", "ing", ""])}
         return plain[name]()
 
 
@@ -505,11 +518,13 @@ def labelled_table(rows: int = 3600, seed: int = 11) -> list[tuple[str, list[tup
     rng = random.Random(seed)
     patterns = [(language, line) for language, lines in PATTERNS.items() for line in lines.split("\n")]
     english = [p for p in patterns if p[0] == "en"]
+    by_language = {language: [p for p in patterns if p[0] == language] for language in PATTERNS}
     labelled_only = [p for p in patterns if any("{" + k + "}" in p[1] for k in TYPES)]
     out = []
     for k in range(rows):
         text, spans = "", []
-        first = rng.choice((english, patterns, labelled_only)[k % 3])
+        # A third English, a third of every language alike, a third with something to find.
+        first = rng.choice((english, by_language[rng.choice(list(by_language))], labelled_only)[k % 3])
         parts = [first] + [rng.choice(labelled_only if rng.random() < 0.5 else [p for p in patterns if p[0] == first[0]]) for _ in range(rng.randrange(3))]
         for language, line in parts:
             fill = _Fill(rng, language)
