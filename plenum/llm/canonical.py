@@ -24,6 +24,8 @@ from .wordings import read_wordings
 
 #: Entries of one tree, and entries (some tens of megabytes) that are sent to the executors at once; a larger list takes several passes over the distinct values.
 SHARD_ENTRIES, BLOCK_ENTRIES = 50_000, 1_000_000
+#: Distinct values of one task.
+TASK_VALUES = 4_000
 
 # What people add around the value itself.
 _BEFORE = re.compile(r"^(?:i am an?|i m an?|i am|i m|an?|the|currently|soy|sou|jestem|我是)\s+(?=\S)|^我是")
@@ -178,8 +180,11 @@ def match_values(values: DataFrame, canonical: DataFrame, *, wordings: DataFrame
     spark = values.sparkSession
     entries = reference_entries(canonical, wordings)
     blocks = max(1, -(-entries.count() // block_entries))
-    # The search costs much more than its bytes show, so the rows are dealt out evenly instead of being coalesced.
-    distinct = narrow(values, field_name="field_name", value="value").where(F.col("value").isNotNull()).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    distinct = narrow(values, field_name="field_name", value="value").where(F.col("value").isNotNull()).distinct()
+    # The search costs much more than its bytes show, so tasks are dealt out by the number of values, and by field: a
+    # walk through a tree costs nearly the same for a few values as for some thousands.
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), distinct.count() // TASK_VALUES + 1)
+    distinct = distinct.repartitionByRange(tasks, "field_name", F.xxhash64("value"))
     winners = None
     for block in range(blocks):
         part = entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("field_name", "canonical_id", "name"), F.lit(blocks)) == block)
