@@ -25,7 +25,7 @@ from .wordings import read_wordings
 #: Entries of one tree, and entries (some tens of megabytes) that are sent to the executors at once; a larger list takes several passes over the distinct values.
 SHARD_ENTRIES, BLOCK_ENTRIES = 50_000, 1_000_000
 #: Distinct values of one task.
-TASK_VALUES = 4_000
+TASK_VALUES = 1_000
 
 # What people add around the value itself.
 _BEFORE = re.compile(r"^(?:i am an?|i m an?|i am|i m|an?|the|currently|soy|sou|jestem|我是)\s+(?=\S)|^我是")
@@ -152,9 +152,21 @@ class Matcher:
     def best(self, values: list[str]) -> list[tuple[int, int, int] | None]:
         """(distance, length not matched, canonical id) of each value's winner: the nearest entry, then the longest key, then the smallest id."""
         tried = [variants(v) for v in values]
-        asked = sorted({k for keys in tried for k in keys})
-        near = dict(zip(asked, self.tree.search(asked, np.array([threshold(len(k)) for k in asked], np.int64)), strict=True))
-        return [min(((d, -len(k), self.owners[name]) for k in keys for d, name in near[k] if d <= threshold(len(name))), default=None) for keys in tried]
+        out: list[tuple[int, int, int] | None] = [None] * len(values)
+        open_ = [i for i, keys in enumerate(tried) if keys]
+        # Radius by radius: who has an entry at this distance needs no wider search, which prunes much less.
+        radius = 0
+        while open_:
+            asked = sorted({k for i in open_ for k in tried[i] if threshold(len(k)) >= radius})
+            if not asked:
+                break
+            near = dict(zip(asked, self.tree.search(asked, np.full(len(asked), radius, np.int64)), strict=True))
+            for i in open_:
+                hits = [(d, -len(k), self.owners[name]) for k in tried[i] for d, name in near.get(k, ()) if d <= threshold(len(name))]
+                out[i] = min(hits, default=None)
+            open_ = [i for i in open_ if out[i] is None]
+            radius += 1
+        return out
 
 
 def reference_entries(canonical: DataFrame, wordings: DataFrame | None) -> DataFrame:
