@@ -52,37 +52,62 @@ def threshold(length: int) -> int:
     return 0 if length <= 3 else 1 if length == 4 else 2 if length < 16 else 3
 
 
-def edit_distances(entry: str, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Unrestricted Damerau-Levenshtein distance of entry to each value (rows of code points, padded with 0)."""
-    n, width = values.shape
-    a = [ord(c) for c in entry]
-    top = len(a) + width
+#: Cells of the distance tables that are filled at a time.
+CELLS = 8_000_000
+
+
+def pair_distances(left: np.ndarray, left_length: np.ndarray, right: np.ndarray, right_length: np.ndarray) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein distance of each row of `left` to the same row of `right` (code points, padded).
+
+    All pairs go through the table together; pairs of like length are taken at a time.
+    """
+    out = np.zeros(len(left), np.int64)
+    order = np.lexsort((right_length, left_length))
+    begin = 0
+    while begin < len(order):
+        size = max(1, CELLS // ((int(left_length[order[begin]]) + 3) * (int(right_length.max()) + 2)))
+        part = order[begin : begin + size]
+        begin += len(part)
+        la, lb = left_length[part], right_length[part]
+        out[part] = _tables(np.ascontiguousarray(left[part, : int(la.max(initial=0))].T), la, np.ascontiguousarray(right[part, : int(lb.max(initial=0))].T), lb)
+    return out
+
+
+def _tables(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    height, n = a.shape
+    width = len(b)
+    top = height + width
     # table[i][j] is d(i-1, j-1) of the textbook recurrence, with a border of large values.
-    table = np.full((len(a) + 2, width + 2, n), top, np.int16)
+    table = np.full((height + 2, width + 2, n), top, np.int16)
     table[1, 1:] = np.arange(width + 1, dtype=np.int16)[:, None]
-    table[1:, 1] = np.arange(len(a) + 1, dtype=np.int16)[:, None]
-    last_row = np.zeros((width, n), np.int64)  # last i with a[i] equal to the value's character at j
+    table[1:, 1] = np.arange(height + 1, dtype=np.int16)[:, None]
+    last_row = np.zeros((width, n), np.int16)  # last i with a[i] equal to the right character at j
     rows = np.arange(n)
-    columns = np.ascontiguousarray(values.T)
-    for i, c in enumerate(a, 1):
-        last_column = np.zeros(n, np.int64)
+    for i in range(1, height + 1):
+        last_column = np.zeros(n, np.int16)
+        same_row = b == a[i - 1]
         for j in range(1, width + 1):
-            same = columns[j - 1] == c
-            i1 = last_row[j - 1]
-            best = table[i, j] + (~same)
+            same = same_row[j - 1]
+            best = table[i, j] + ~same
             np.minimum(best, table[i + 1, j] + 1, out=best)
             np.minimum(best, table[i, j + 1] + 1, out=best)
             if i > 1 and j > 1:
-                swap = np.flatnonzero((i1 > 0) & (last_column > 0))
+                i1 = last_row[j - 1]
+                swap = np.flatnonzero(i1.astype(bool) & last_column.astype(bool))
                 if len(swap):
                     i0, j0 = i1[swap], last_column[swap]
                     moved = table[i0, j0, rows[swap]] + (i - i0 - 1) + 1 + (j - j0 - 1)
                     best[swap] = np.minimum(best[swap], moved)
             table[i + 1, j + 1] = best
             last_column[same] = j
-        for j in range(width):
-            last_row[j][columns[j] == c] = i
-    return table[len(a) + 1, lengths + 1, rows].astype(np.int64)
+        last_row[same_row] = i
+    return table[la + 1, lb + 1, rows].astype(np.int64)
+
+
+def edit_distances(entry: str, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The distance of one entry to each value."""
+    one, size = _rows([entry])
+    return pair_distances(np.repeat(one, len(values), axis=0), np.repeat(size, len(values)), values, lengths)
 
 
 def _rows(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +127,7 @@ class Tree:
         if not self.keys:
             return
         # All keys go down together: those that reach a node at the same distance share a child.
-        values, lengths = _rows(self.keys)
+        values, lengths = self.codes, self.lengths = _rows(self.keys)
         work = [(0, np.arange(1, len(self.keys)))]
         while work:
             node, below = work.pop()
@@ -125,17 +150,24 @@ class Tree:
             return out
         values, lengths = _rows([keys[i] for i in fit])
         radius = radius[fit]
-        work = [(0, np.arange(len(fit)))]
-        while work:
-            node, alive = work.pop()
-            width = int(lengths[alive].max())
-            far = edit_distances(self.keys[node], values[alive, :width], lengths[alive])
-            for i in np.flatnonzero(far <= radius[alive]):
-                out[fit[alive[i]]].append((int(far[i]), self.keys[node]))
-            for d, child in self.children[node].items():
-                near = alive[np.abs(far - d) <= radius[alive]]
-                if len(near):
-                    work.append((child, near))
+        # Level by level: all values that are alive at any node of a level are compared in one go.
+        node, alive = np.zeros(len(fit), np.int64), np.arange(len(fit))
+        while len(node):
+            far = pair_distances(self.codes[node], self.lengths[node], values[alive], lengths[alive])
+            for k in np.flatnonzero(far <= radius[alive]):
+                out[fit[alive[k]]].append((int(far[k]), self.keys[node[k]]))
+            order = np.argsort(node, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0, True])
+            next_node, next_alive = [], []
+            for x, y in zip(edge, edge[1:], strict=False):
+                here = order[x:y]
+                children = self.children[int(node[here[0]])]
+                if not children:
+                    continue
+                at, child = np.array(list(children)), np.array(list(children.values()))
+                i, j = np.nonzero(np.abs(far[here][:, None] - at) <= radius[alive[here]][:, None])
+                next_node.append(child[j]), next_alive.append(alive[here[i]])
+            node, alive = (np.concatenate(parts) if parts else np.zeros(0, np.int64) for parts in (next_node, next_alive))
         return out
 
 
