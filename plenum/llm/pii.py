@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import by_batch, narrow, shared_folder
+from .batches import bounded_sample, by_batch, narrow, shared_folder
 from .pii_seed import labelled_table, vocabulary
 
 KINDS = ("EMAIL_ADDRESS", "PHONE_NUMBER", "ID_NUMBER", "STREET_ADDRESS", "PERSON")
@@ -668,7 +668,7 @@ def fit(labelled: list[tuple[str, list[str]]], seed_rows: int = SEED_ROWS) -> Fi
 def labelled_rows(cases: DataFrame, *, text_column: str = "text", names_column: str = "names", id_column: str = "case_id", rows: int = FIT_ROWS) -> list[tuple[str, list[str]]]:
     """At most `rows` hand-labelled rows, picked by a hash of the id."""
     picked = narrow(cases, k=id_column, text=text_column, names=names_column).where(F.col("names").isNotNull() & F.col("text").isNotNull())
-    return [(r["text"], [n for n in r["names"] if n]) for r in picked.orderBy(F.xxhash64("k"), "k").limit(rows).collect()]
+    return [(r["text"], [n for n in r["names"] if n]) for r in bounded_sample(picked, rows, "k")]
 
 
 _decoders: dict[str, Decoder] = {}

@@ -106,6 +106,15 @@ def test_ordinary_words(spark):
     assert pii.ordinary_words(df.limit(0)) == frozenset()
 
 
+def test_bounded_sample(spark):
+    from plenum.llm.batches import bounded_sample
+
+    df = spark.range(5000)
+    picked = [r["id"] for r in bounded_sample(df, 100, "id")]
+    assert len(picked) == 100 == len(set(picked)) and picked == [r["id"] for r in bounded_sample(df.repartition(3), 100, "id")]
+    assert len(bounded_sample(df.limit(30), 100, "id")) == 30 and bounded_sample(df.limit(0), 100, "id") == []
+
+
 def test_field_is_kept(tmp_path):
     field = pii.Field.empty()
     field.step[1, 2] = 0.5
