@@ -301,9 +301,11 @@ class Decoder:
     def __init__(self, field: Field, ordinary: frozenset[str] = frozenset()) -> None:
         self.field, self.ordinary = field, ordinary
         self.step, self.start = field.step + STEP_MASK, field.start + START_MASK
-        # No labelled stretch can pay if every token of a text loses more than all steps could win back.
-        inner = np.where(field.step + STEP_MASK > -1e3, field.step, -np.inf)
-        self.bonus = float(2 * max(0.0, inner.max() - field.step[0, 0]) + max(0.0, (field.start[1:] - field.start[0]).max()))
+        # What a labelled stretch can win by its steps at most: on the way in and out, and for each token inside.
+        begins, insides, plain = np.arange(1, N, 2), np.arange(2, N, 2), field.step[0, 0]
+        out = max(0.0, float((field.step[1:, 0] - plain).max()))
+        self.enter = (np.maximum(self.step[:, begins].max(axis=0) - plain, field.start[begins] - field.start[0]) + out)[:, None]
+        self.stay = (np.maximum(self.step[begins, insides], self.step[insides, insides]) - plain)[:, None]
         self._reset()
 
     def _reset(self) -> None:
@@ -378,15 +380,27 @@ class Decoder:
             at += size + gap
         return out
 
+    def may_hold(self, emissions: list[np.ndarray]) -> np.ndarray:
+        """Which texts could have a labelled stretch in their best path: one whose first token and best continuation pay, with the steps at their best."""
+        sizes = np.array([len(e) for e in emissions])
+        full = np.flatnonzero(sizes)
+        out = np.zeros(len(emissions), bool)
+        if not len(full):
+            return out
+        flat = np.concatenate([emissions[i] for i in full]).T
+        gain = flat[1:] - flat[0]
+        text = np.repeat(np.arange(len(full)), sizes[full])
+        # The best continuation is the highest sum that follows in the text; texts lie on steps too high to look across.
+        total = np.cumsum(gain[1::2] + self.stay, axis=1, dtype=np.float64) - text * 1e6
+        after = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1] - total
+        pays = (gain[::2] + self.enter + after > 0).any(axis=0)
+        out[full] = np.logical_or.reduceat(pays, np.cumsum(sizes[full]) - sizes[full])
+        return out
+
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         """Best labels of each text by Viterbi; texts of like length step together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(emissions)
-        live = []
-        for i, e in enumerate(emissions):
-            if len(e) and (e[:, 1:].max(axis=1) - e[:, 0]).max() + self.bonus > 0:
-                live.append(i)
-            else:
-                out[i] = np.zeros(len(e), np.int64)
+        out: list[np.ndarray] = [np.zeros(len(e), np.int64) for e in emissions]
+        live = np.flatnonzero(self.may_hold(emissions)).tolist()
         order = sorted(live, key=lambda i: len(emissions[i]))
         opens = np.r_[0, 1:N:2]  # outside and the beginnings may follow any label
         begins, insides = np.arange(1, N, 2), np.arange(2, N, 2)  # an inside label follows the two of its kind
