@@ -19,7 +19,7 @@ from .functions import redaction
 from .operators import affect, clean, evaluate, gaps, questions, themes
 from .plans import analysis, brief
 from .schema import POSITION
-from .sources import sinks, tables
+from .sources import shared, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -53,6 +53,11 @@ def _workspace(spark: SparkSession) -> Path:
     return Path(tempfile.mkdtemp(prefix="plenum-files-", dir=base))
 
 
+def _work() -> Path:
+    """A new folder of the driver's own."""
+    return Path(tempfile.mkdtemp(prefix="plenum-files-"))
+
+
 def _values(columns: str, rows: list[tuple]) -> str:
     def one(v: object) -> str:
         return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
@@ -90,10 +95,10 @@ def source_csv(spark, folder):  # noqa: ANN001, ANN201
 @_query(f"SELECT field_name, CAST(canonical_id AS VARCHAR) AS canonical_id, {_NAMES} || ' – “é”' AS names, 'windows-1252' AS encoding FROM canonical_values")
 def source_csv_windows(spark, folder):  # noqa: ANN001, ANN201
     """A Windows-1252 CSV whose first 2 MB are plain ASCII."""
-    path = _workspace(spark) / "table.csv"
+    path = _work() / "table.csv"
     rows = [("filler", "0", "x" * 1000)] * 2000 + [(a, b, c + " – “é”") for a, b, c in _canonical(spark, folder)]
     path.write_bytes(_csv_text(rows, ("field_name", "canonical_id", "names")).encode("cp1252"))
-    df, encoding = tables.read_csv(spark, path, preserve_text=True)
+    df, encoding = tables.read_csv(spark, shared.publish(spark, path), preserve_text=True)
     return df.where(F.col("field_name") != "filler").withColumn("encoding", F.lit(encoding))
 
 
