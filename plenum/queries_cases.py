@@ -142,9 +142,9 @@ def source_zip(spark, folder):  # noqa: ANN001, ANN201
 
 @_query("SELECT group_label AS \"group\", share FROM reference_distribution WHERE field_name = 'role'")
 def source_reference_csv(spark, folder):  # noqa: ANN001, ANN201
-    path = _workspace(spark) / "reference.csv"
+    path = _work() / "reference.csv"
     path.write_text(_csv_text([r[1:] for r in _reference_rows(spark, folder) if r[0] == "role"], ("group", "share")), encoding="utf-8")
-    return spark.createDataFrame(tables.load_reference_csv(spark, path), "group string, share string")
+    return spark.createDataFrame(tables.load_reference_csv(spark, shared.publish(spark, path)), "group string, share string")
 
 
 @_query("SELECT 'subgroup__' || field_name AS field, trim(group_label) AS \"group\", share FROM reference_distribution")

@@ -19,7 +19,7 @@ class Elsewhere:
         return getattr(self._spark, name)
 
 
-QUERIES = ["source_csv_windows"]
+QUERIES = ["source_csv_windows", "source_reference_csv"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
