@@ -116,7 +116,7 @@ def source_xlsx(spark, folder):  # noqa: ANN001, ANN201
 
 @_query(_values("sheet_no, sheet", [(0, "notes"), (1, "shares & more")]))
 def source_sheets(spark, folder):  # noqa: ANN001, ANN201
-    path = _workspace(spark) / "book.xlsx"
+    path = _work() / "book.xlsx"
     path.write_bytes(sinks.workbook_bytes({"notes": [["a"]], "shares & more": [["b"]]}))
     return spark.createDataFrame(list(enumerate(tables.list_sheets(path))), "sheet_no int, sheet string")
 
