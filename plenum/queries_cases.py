@@ -458,7 +458,7 @@ def gap_workbook(spark, folder):  # noqa: ANN001, ANN201
     """The workbook of gap rows, read back: nothing hidden is in it."""
     references = gaps.references_from_table(_table(spark, folder, "reference_distribution"))
     rows, _ = gaps.analyse_gaps(_table(spark, folder, "synthetic_theme_benchmark"), subgroups=["role", "ward"], references={k: v for k, v in references.items() if k in ("role", "ward")}, order="row_id")
-    path = _workspace(spark) / "gaps.xlsx"
+    path = _work() / "gaps.xlsx"
     path.write_bytes(sinks.gap_workbook(rows))
     back = tables.load_table(spark, path, row_cap=None).df
     return back.select("field", "group", F.col("count").cast("long").alias("count"))
