@@ -188,7 +188,7 @@ def source_refusals(spark, folder):  # noqa: ANN001, ANN201
 @_query("SELECT 'EX-7-' || row_id AS source_id, 'Row ' || row_id || ' & more' AS comment_text, '2026-01-0' || (row_id % 9 + 1) AS hearing_date FROM synthetic_theme_benchmark WHERE row_id % 5 NOT IN (0, 1, 2)")
 def source_json_records(spark, folder):  # noqa: ANN001, ANN201
     """Comments of one document from JSON records: withdrawn and restricted ones and those of other documents stay out, markup goes."""
-    work = _workspace(spark)
+    records = shared.new_folder(spark) + "/records"
     k = F.col("row_id") % 5
     attributes = F.struct(
         F.lit("EX-7").alias("docketId"),
@@ -199,8 +199,8 @@ def source_json_records(spark, folder):  # noqa: ANN001, ANN201
         F.concat(F.lit("2026-01-0"), (F.col("row_id") % 9 + 1).cast("string")).alias("postedDate"),
     )
     rows = _table(spark, folder, "synthetic_theme_benchmark").select(F.struct(F.concat(F.lit("EX-7-"), F.col("row_id").cast("string")).alias("id"), F.lit("comments").alias("type"), attributes.alias("attributes")).alias("data"))
-    rows.write.json(f"file://{work}/records")
-    return tables.comment_records(spark.read.json(f"file://{work}/records"), "EX-7-0001")
+    rows.write.json(records)
+    return tables.comment_records(spark.read.json(records), "EX-7-0001")
 
 
 # ---- redaction
