@@ -153,7 +153,7 @@ def source_reference_json(spark, folder):  # noqa: ANN001, ANN201
     shares: dict[str, dict[str, str]] = {}
     for field, group, share in _reference_rows(spark, folder):
         shares.setdefault(field, {})[group.strip()] = share
-    path = _workspace(spark) / "reference.json"
+    path = _work() / "reference.json"
     path.write_text(json.dumps(shares), encoding="utf-8")
     found = tables.read_references(path, sorted(shares))
     return spark.createDataFrame([(f, g, s) for f, groups in found.items() for g, s in groups.items()], "field string, group string, share string")
