@@ -124,9 +124,9 @@ def source_sheets(spark, folder):  # noqa: ANN001, ANN201
 @_query("SELECT field_name, CAST(canonical_id AS VARCHAR) AS canonical_id FROM canonical_values ORDER BY field_name, canonical_values.canonical_id LIMIT 10")
 def source_load_capped(spark, folder):  # noqa: ANN001, ANN201
     """The load wrapper with a row cap, which is its feature: the first ten rows in file order."""
-    path = _workspace(spark) / "table.csv"
+    path = _work() / "table.csv"
     path.write_text(_csv_text(_canonical(spark, folder), ("field_name", "canonical_id", "names")), encoding="utf-8")
-    report = tables.load_table(spark, path, row_cap=10, preserve_text=True)
+    report = tables.load_table(spark, shared.publish(spark, path), row_cap=10, preserve_text=True)
     return report.df.select("field_name", "canonical_id")
 
 
