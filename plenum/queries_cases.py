@@ -162,7 +162,7 @@ def source_reference_json(spark, folder):  # noqa: ANN001, ANN201
 @_query(_values("outcome, n", [("JSON with a repeated key", 0), ("a side file over its limit", 0), ("a side file that is not UTF-8", 0), ("an unknown subgroup", 0), ("two CSV files in an archive", 0), ("a side file of six bytes", 6)]))
 def source_refusals(spark, folder):  # noqa: ANN001, ANN201
     """What the readers of side files refuse gives 0, what they take its length."""
-    work = _workspace(spark)
+    work = _work()
     files = {"repeated.json": b'{"role": {}, "role": {}}', "six.txt": b"abc de", "latin.txt": "é".encode("latin-1"), "ward.json": b'{"ward": {"a": "1"}}'}
     for name, data in files.items():
         (work / name).write_bytes(data)
