@@ -6,7 +6,6 @@ Their SQL holds the results as constants or takes them from the tables; it reads
 from __future__ import annotations
 
 import json
-import os
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -40,19 +39,6 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _workspace(spark: SparkSession) -> Path:
-    """A new folder for files that a query writes and reads: in the shared folder, or in a temporary one of a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared and shared.startswith("file:"):
-        base = shared.removeprefix("file://").removeprefix("file:")
-    elif spark.sparkContext.master.startswith("local"):
-        base = tempfile.gettempdir()
-    else:
-        raise RuntimeError("these queries write files: spark.checkpoint.dir must name a mounted folder")
-    os.makedirs(base, exist_ok=True)
-    return Path(tempfile.mkdtemp(prefix="plenum-files-", dir=base))
-
-
 def _work() -> Path:
     """A new folder of the driver's own."""
     return Path(tempfile.mkdtemp(prefix="plenum-files-"))
@@ -133,11 +119,11 @@ def source_load_capped(spark, folder):  # noqa: ANN001, ANN201
 @_query(f"SELECT field_name, CAST(canonical_id AS VARCHAR) AS canonical_id, {_NAMES} AS names FROM canonical_values")
 def source_zip(spark, folder):  # noqa: ANN001, ANN201
     """The one CSV of an archive, beside a file of another kind."""
-    work = _workspace(spark)
+    work = _work()
     with zipfile.ZipFile(work / "a.zip", "w") as z:
         z.writestr("readme.txt", "not a table")
         z.writestr("inner/table.csv", _csv_text(_canonical(spark, folder), ("field_name", "canonical_id", "names")))
-    return tables.read_zipped_csv(spark, work / "a.zip", work / "out", required={"field_name"})
+    return tables.read_zipped_csv(spark, work / "a.zip", shared.new_folder(spark), required={"field_name"})
 
 
 @_query("SELECT group_label AS \"group\", share FROM reference_distribution WHERE field_name = 'role'")

@@ -19,7 +19,7 @@ class Elsewhere:
         return getattr(self._spark, name)
 
 
-QUERIES = ["source_csv_windows", "source_reference_csv", "source_sheets", "gap_workbook", "source_json_records", "source_reference_json", "source_xlsx", "source_csv", "source_load_capped", "source_refusals"]
+QUERIES = ["source_csv_windows", "source_reference_csv", "source_sheets", "gap_workbook", "source_json_records", "source_reference_json", "source_xlsx", "source_csv", "source_load_capped", "source_refusals", "source_zip"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
