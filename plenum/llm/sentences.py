@@ -6,7 +6,7 @@ whole: its length in words, the words that open and close it, the marks at its e
 whether its quotation marks balance.  Line breaks always end a sentence, so every line is
 solved for itself.
 
-How well a word opens or closes a sentence is fitted on a bounded sample of the texts: words
+How well a word opens or closes a sentence is fitted on all texts: words
 at the ends of lines, which are ends of sentences in any case, against words inside.  What
 the marks say is scored by rules for the scripts, with fixed scores; no rule takes a
 candidate out.
@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import bounded_sample, by_batch, narrow
+from .batches import by_batch, cut, narrow
 
 SPANS = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
 
@@ -68,8 +68,8 @@ _POLISH = re.compile("[ąćęłńśźż]", re.I)
 
 # Scores, in the units of a log-likelihood ratio.
 HARD, LIKELY, UNLIKELY, NEVER = 6.0, 3.0, -3.0, -12.0
-#: Texts that the words are fitted on at most; how often a word must occur; what its log-odds weigh, and count for at most.
-FIT_ROWS, LEAST_SEEN, WORD_WEIGHT, WORD_LIMIT = 20_000, 5, 1.0, 1.5
+#: How often a word must occur; what its log-odds weigh, and count for at most.
+LEAST_SEEN, WORD_WEIGHT, WORD_LIMIT = 5, 1.0, 1.5
 #: A span of n words costs LENGTH[n] (short ones) or grows slowly beyond LONG_WORDS.
 SHORT = (-6.0, -1.2, -0.4, 0.0)
 LONG_WORDS, LONG_COST = 60, 0.05
@@ -224,23 +224,38 @@ class Words:
     @classmethod
     def fit(cls, texts: Iterable[str]) -> Words:
         """Log-odds of the first and the last word of a line against words between blanks and other words."""
-        first, last, inside = Counter(), Counter(), Counter()
-        for text in texts:
-            for line in _LINE.findall(text):
-                found = [w.lower() for w in _WORD.findall(_MARKER.sub("", line, count=1))]
-                if len(found) < 4:
-                    continue
-                first[found[0]] += 1
-                last[found[-1]] += 1
-                inside.update(w.lower() for w in _INNER.findall(line))
-
-        def odds(edge: Counter) -> dict[str, float]:
-            n, m = sum(edge.values()) + 1.0, sum(inside.values()) + 1.0
-            seen = [w for w in edge.keys() | inside.keys() if edge[w] + inside[w] >= LEAST_SEEN]
-            raw = {w: math.log((edge[w] + 0.5) / n) - math.log((inside[w] + 0.5) / m) for w in seen}
+        return cls.from_counts(_counted(texts))
+
+    @classmethod
+    def from_counts(cls, counts: dict[str, tuple[int, int, int]], totals: tuple[int, int, int] | None = None) -> Words:
+        """The same from how often each word is first, last and inside; rare words may be left out if the totals are given."""
+        firsts, lasts, insides = totals or tuple(sum(n[k] for n in counts.values()) for k in range(3))
+
+        def odds(k: int, edges: int) -> dict[str, float]:
+            n, m = edges + 1.0, insides + 1.0
+            raw = {w: math.log((c[k] + 0.5) / n) - math.log((c[2] + 0.5) / m) for w, c in counts.items() if c[k] + c[2] >= LEAST_SEEN}
             return {w: WORD_WEIGHT * max(-WORD_LIMIT, min(WORD_LIMIT, x)) for w, x in raw.items()}
 
-        return cls(odds(first), odds(last))
+        return cls(odds(0, firsts), odds(1, lasts))
+
+
+def _counted(texts: Iterable[str]) -> dict[str, tuple[int, int, int]]:
+    """How often each word is the first and the last of a line, and how often it stands inside one."""
+    first, last, inside = Counter(), Counter(), Counter()
+    for text in texts:
+        for line in _LINE.findall(text):
+            found = _WORD.findall(_MARKER.sub("", line, count=1))
+            if len(found) < 4:
+                continue
+            first[found[0]] += 1
+            last[found[-1]] += 1
+            inside.update(_INNER.findall(line))
+    out: dict[str, list[int]] = {}
+    for k, counter in enumerate((first, last, inside)):
+        # Each different word is put into small letters once.
+        for word, n in counter.items():
+            out.setdefault(word.lower(), [0, 0, 0])[k] += n
+    return {w: tuple(n) for w, n in out.items()}
 
 
 #: Words between words: white space and a letter, digit or comma stand on either side.
@@ -352,20 +367,34 @@ def sentences(text: str, words_of: Words = NO_WORDS) -> list[tuple[int, int]]:
     return out
 
 
-def fit_words(table: DataFrame, *, id_column: str, text_column: str, rows: int = FIT_ROWS) -> Words:
-    """Words.fit on at most `rows` texts, picked by a hash of the id."""
-    picked = narrow(table, k=id_column, text=text_column).select("k", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    return Words.fit(r["text"] for r in bounded_sample(picked, rows, "k", "text"))
+COUNTS = T.StructType([T.StructField("word", T.StringType())] + [T.StructField(k, T.LongType()) for k in ("first", "last", "inside")])
+
+
+def fit_words(table: DataFrame, *, text_column: str) -> Words:
+    """Words.fit on all texts: each task counts its own, and the driver gets one row for each word that is seen often enough."""
+    texts = narrow(table, text=text_column).select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _counted(batch.column(0).to_pylist())
+            columns = [list(found), *([n[k] for n in found.values()] for k in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=COUNTS.fieldNames())
+
+    sums = [F.sum(k).alias(k) for k in ("first", "last", "inside")]
+    counts = cut(texts.mapInArrow(run, COUNTS).groupBy("word").agg(*sums))
+    totals = counts.agg(*sums).first()
+    often = counts.where((F.col("first") + F.col("inside") >= LEAST_SEEN) | (F.col("last") + F.col("inside") >= LEAST_SEEN)).collect()
+    return Words.from_counts({r["word"]: tuple(r)[1:] for r in often}, tuple(n or 0 for n in totals))
 
 
-def split_sentences(table: DataFrame, *, id_column: str = "row_id", text_column: str = "comment_text", fit_rows: int = FIT_ROWS) -> DataFrame:
+def split_sentences(table: DataFrame, *, id_column: str = "row_id", text_column: str = "comment_text") -> DataFrame:
     """(row_id, start_pos, end_pos) of every sentence of every row whose text is not null or blank.
 
     Repeated rows each give their rows; a null id stays null; extra columns are ignored; an empty table gives an
-    empty table.  The words are fitted on a bounded sample (fit_rows); then one narrow pass: whole texts, no shuffle.
+    empty table.  The words are fitted on all texts in a pass of their own; then one narrow pass: whole texts, no shuffle.
     """
     source = narrow(table, row_id=id_column, text=text_column).select(F.col("row_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    shared = table.sparkSession.sparkContext.broadcast(fit_words(table, id_column=id_column, text_column=text_column, rows=fit_rows))
+    shared = table.sparkSession.sparkContext.broadcast(fit_words(table, text_column=text_column))
 
     def make():
         words_of = shared.value

@@ -107,3 +107,10 @@ def test_words_are_fitted():
 def test_long_line_takes_all_candidates():
     line = "We wait e.g. here and there " * 3000 + "and it ends. Then another one begins here."
     assert [line[a:b] for a, b in se.line_spans(line)][-1] == "Then another one begins here."
+
+
+def test_words_are_fitted_on_all_texts(spark):
+    texts = [f"The bus {i % 7} is late again today." for i in range(21_000)] + ["Zebras cross the road at noon."] * 5 + [None]
+    table = spark.createDataFrame([(t,) for t in texts], "comment_text string").repartition(3)
+    found = se.fit_words(table, text_column="comment_text")
+    assert found == se.Words.fit(t for t in texts if t) and found.opening["zebras"] > 0
